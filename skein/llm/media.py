@@ -1,9 +1,10 @@
 """Media columns: payloads stored once by content in tar shards; rows carry digest, shard, offset and length.
 
-A text's bytes become the 8-bit samples of a grey PNG image of 192 columns. Images are dealt by digest,
-each task sending a digest once, and written to tar shards of bounded size in the shared folder. A shard's
-name holds the attempt that wrote it and only the index of a finished attempt names it, so a lost
-executor leaves at worst a file that nothing refers to.
+A text's bytes become the 8-bit samples of a grey PNG image of 192 columns. Each task writes the images
+of its rows, each different one once, to tar shards of bounded size in the shared folder; no payload is
+shuffled. The index keeps one place per digest, and all rows with that digest refer to it. A shard's name
+holds the attempt that wrote it and only the index of a finished attempt names it, so a lost executor
+leaves at worst a file that nothing refers to.
 """
 
 from __future__ import annotations
@@ -96,23 +97,6 @@ def write_shards(docs: DataFrame, path: str, text_col: str = "text", shard_bytes
     later step writes shards again.
     """
 
-    def encode(batches):
-        import pyarrow as pa
-
-        sent: set[str] = set()
-        for batch in batches:
-            texts, names = _text.to_bytes(batch.column("text")), batch.column("digest").to_pylist()
-            for a, b in _text.slices(texts):
-                images = {}
-                for name, text in zip(names[a:b], texts[a:b]):
-                    if name not in sent:
-                        sent.add(name)
-                        images[name] = to_png(payload_of(text))
-                if len(sent) > 200_000:
-                    sent.clear()
-                if images:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(images)), pa.array(list(images.values()), pa.binary())], ["digest", "media"])
-
     def write(batches):
         import tarfile
         import uuid
@@ -122,13 +106,14 @@ def write_shards(docs: DataFrame, path: str, text_col: str = "text", shard_bytes
 
         files, root = _filesystem(path)
         files.create_dir(root, recursive=True)
-        attempt, number, out, last = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, None, None
+        attempt, number, out, sent = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, None, set()
         for batch in batches:
             rows = []
-            for name, media in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist()):
-                if name == last:
+            for name, text in zip(batch.column("digest").to_pylist(), _text.to_bytes(batch.column("text"))):
+                if name in sent:
                     continue
-                last = name
+                sent.add(name)
+                media = to_png(payload_of(text))
                 if out is not None and at >= shard_bytes:
                     out.write(bytes(1024))
                     out.close()
@@ -142,15 +127,18 @@ def write_shards(docs: DataFrame, path: str, text_col: str = "text", shard_bytes
                 out.write(head + media + bytes(-len(media) % 512))
                 rows.append((name, shard, at + len(head), len(media)))
                 at += len(head) + len(media) + -len(media) % 512
+            if len(sent) > 200_000:
+                sent.clear()
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(("digest", "shard", "offset", "length"), zip(*rows))))
         if out is not None:
             out.write(bytes(1024))
             out.close()
 
-    images = docs.select(digest(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(encode, "digest string, media binary")
-    dealt = images.repartition("digest").sortWithinPartitions("digest")
-    return store(dealt.mapInArrow(write, "digest string, shard string, offset long, length long"), "media-index")
+    texts = docs.select(digest(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    written = store(texts.mapInArrow(write, "digest string, shard string, offset long, length long"), "media-index")
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    return written.groupBy("digest").agg(place).select("digest", "place.*")
 
 
 META = "digest string, width int, height int, bit_depth int, colour_type int"
@@ -191,7 +179,8 @@ def read_shards(index: DataFrame, path: str, whole: bool = True) -> DataFrame:
     fields = [f.strip().split(" ") for f in (READ if whole else META).split(",")]
     names = [f[0] for f in fields]
     kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f[1]] for f in fields]
-    return index.mapInArrow(run, READ if whole else META)
+    ordered = index.repartition("shard").sortWithinPartitions("shard", "offset")
+    return ordered.mapInArrow(run, READ if whole else META)
 
 
 def with_media(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
