@@ -8,6 +8,7 @@ finds any document from the small columns. Only the texts are shuffled, once.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,18 +22,42 @@ from skein.llm._work import kept_in_worker, new_dir
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Encoded pieces a Python worker remembers.
-MEMORY = 1_500_000
+MEMORY = 2_500_000
 
-# A cut before a space is safe if a byte follows that can't begin white space.
-_AFTER_SPACE = np.array([0x20 < c < 0x7F or (c >= 0xC3 and c not in (0xE1, 0xE2, 0xE3)) for c in range(256)])
+# Kinds of bytes at which the vocabulary's pattern always splits, whatever stands around them.
+_SPACE, _LINE, _LETTER, _MARK, _APOSTROPHE, _OTHER = range(6)
+_KIND = np.array(
+    [
+        _SPACE if c == 0x20 else _LINE if c == 0x0A else _APOSTROPHE if c == 0x27 else _OTHER if c < 0x20 or c >= 0x7F
+        else _LETTER if chr(c).isalpha() else _OTHER if chr(c).isdigit() else _MARK
+        for c in range(256)
+    ],
+    np.uint8,
+)
+# A byte that begins a visible character; bytes that can begin other white space don't count.
+_VISIBLE = np.array([0x20 < c < 0x7F or (c >= 0xC3 and c not in (0xE1, 0xE2, 0xE3)) for c in range(256)])
+
+
+def _cuts() -> np.ndarray:
+    """[kind of a byte * 2 + its visibility, the same of the next]: whether to cut between them."""
+    cut = np.zeros((6, 2, 6, 2), bool)
+    cut[_LINE, :, [_LETTER, _MARK, _APOSTROPHE, _OTHER], 1] = True
+    cut[[_LETTER, _MARK, _APOSTROPHE], :, _LINE, :] = True
+    cut[_LETTER, :, [_MARK, _APOSTROPHE], :] = True
+    cut[_MARK, :, _LETTER, :] = True
+    return cut
+
+
+_CUT = _cuts().reshape(-1)
 
 
 class Encoder:
     """Encodes texts piece by piece, each different piece once.
 
-    The byte-level vocabulary splits text by a pattern before any merge, and always before a space
-    that a visible character follows; so texts are cut there, pieces are found by 64-bit hash, and
-    the library encodes those not met before.
+    The byte-level vocabulary splits text by a pattern before any merge: always before a space that
+    a visible character follows, at a line feed next to a visible character, and between letters and
+    marks (an apostrophe may belong to the letters after it). So texts are cut there, pieces are
+    found by 64-bit hash, and the library encodes those not met before.
     """
 
     def __init__(self, name: str = TOKENIZER):
@@ -43,11 +68,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def _has(self, hashes: np.ndarray) -> np.ndarray:
@@ -57,15 +83,15 @@ class Encoder:
         return self.hashes[place] == hashes
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         at = np.cumsum(size) - size + len(self.pool)
         self.pool = np.concatenate([self.pool, ids])
-        hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, place, hashes[order])
+        self.at, self.size = np.insert(self.at, place, at[order]), np.insert(self.size, place, size[order])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by END_ID, and the number of each text's ids with it."""
@@ -78,7 +104,15 @@ class Encoder:
         first = np.zeros(len(buf) + 1, bool)
         first[start] = True
         cut = np.zeros(len(buf) + 1, bool)
-        cut[: max(len(buf) - 1, 0)] = (buf[:-1] == 0x20) & _AFTER_SPACE[buf[1:]] & ~first[1:-1]
+        kind = _KIND[buf] * np.uint8(2) + _VISIBLE[buf]
+        cut[1 : len(buf)] = _CUT[kind[:-1] * np.uint8(12) + kind[1:]]
+        # After a line feed only if it stands alone: of more white space the pattern takes all but the last.
+        after_line = np.flatnonzero(cut[1 : len(buf)] & (buf[:-1] == 0x0A)) + 1
+        cut[after_line[~(cut | first)[after_line - 1]]] = False
+        cut[: max(len(buf) - 1, 0)] |= (buf[:-1] == 0x20) & _VISIBLE[buf[1:]] & ~first[1:-1]
+        for i, text in enumerate(texts):
+            if any(x in text for x in self.special):  # such a string is one id, whatever stands in it
+                cut[start[i] : start[i] + length[i]] = False
         begin = np.flatnonzero((cut | first)[: len(buf)])
         end = np.append(begin[1:], len(buf))[: len(begin)]
         hashes = _text.hash_spans(buf, begin, end) if len(begin) else np.zeros(0, np.uint64)
