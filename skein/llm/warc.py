@@ -2,22 +2,25 @@
 
 A capture is a request, a response (or a revisit of an equal payload) and a metadata record that
 name the response in WARC-Concurrent-To. Archives are written by Spark's text writer with the end of a
-record as the line separator, and read as whole files of bounded size, record by record.
+record as the line separator, compressed, and read as whole files of bounded size, record by record.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._work import new_dir
+from skein.llm._work import new_dir, store
 
 CRLF = "\r\n"
-#: Bytes of one archive file, about.
-ARCHIVE_BYTES = 16 << 20
+#: Records of one archive file at most.
+MAX_RECORDS = 9_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -69,7 +72,7 @@ def _text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, max_records: int = MAX_RECORDS) -> None:
     """Write request, response or revisit, and metadata records of every row below `path`."""
     refs = with_references(pages, min_bytes)
     own = lambda kind, page, rid: _uuid(F.lit(kind), _text_of(page), rid.cast("string"))
@@ -87,13 +90,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     fields = F.concat(F.lit("pageId: "), _text_of(F.col("page_id")), F.lit(CRLF))
     metadata = _record("metadata", own("metadata", F.col("page_id"), F.col("rid")), uri, "application/warc-fields", fields, concurrent)
     rows = refs.select(F.explode(F.array(request, F.when(F.col("first").isNull(), response).otherwise(revisit), metadata)).alias("value"))
-    total = pages.agg(F.sum(F.octet_length("html") + 2000)).first()[0] or 0
-    rows.repartition(max(1, -(-int(total) // archive_bytes))).write.option("lineSep", CRLF * 2).text(path)
+    rows.write.options(lineSep=CRLF * 2, compression="gzip", maxRecordsPerFile=max_records).text(path)
 
 
-def parse_records(content: bytes) -> list[dict]:
+def parse_records(content: bytes, payloads: bool = True) -> Iterator[dict]:
     """The records of one archive, by their lengths."""
-    at, out = 0, []
+    at = 0
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
         head = dict(line.split(b": ", 1) for line in content[at:end].split(b"\r\n")[1:])
@@ -106,14 +108,13 @@ def parse_records(content: bytes) -> list[dict]:
         row |= {"payload_digest": None, "payload_bytes": None, "page_id": None, "payload": None}
         if kind == "response":
             body = block[block.index(b"\r\n\r\n") + 4 :]
-            row |= {"payload": body, "payload_bytes": len(body), "payload_digest": base64.b32encode(hashlib.sha1(body).digest()).decode()}
+            row |= {"payload": body if payloads else None, "payload_bytes": len(body), "payload_digest": base64.b32encode(hashlib.sha1(body).digest()).decode()}
         elif kind == "revisit":
             row["payload_digest"] = text(b"WARC-Payload-Digest").removeprefix("sha1:")
         elif kind == "metadata":
             fields = dict(line.split(b": ", 1) for line in block.split(b"\r\n") if line)
             row["page_id"] = fields[b"pageId"].decode()
-        out.append(row)
-    return out
+        yield row
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -126,12 +127,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         types = [pa.int64() if k == "payload_bytes" else pa.binary() if k == "payload" else pa.string() for k in names]
         for batch in batches:
             for content in batch.column(0):
-                rows = parse_records(content.as_py())
-                if not payloads:
-                    for row in rows:
-                        row["payload"] = None
-                for a in range(0, len(rows), 5000):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + 5000]], t) for k, t in zip(names, types)], names)
+                records = parse_records(gzip.decompress(content.as_py()), payloads)
+                while rows := list(islice(records, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names, types)], names)
 
     names = [f.strip().split(" ")[0] for f in RECORDS.split(",")]
     return files.mapInArrow(run, RECORDS)
@@ -150,7 +148,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """Per capture: page id, payload size and digest, type, and the page it refers to."""
-    whole = assemble(read_archives(spark, path, payloads=False)).select(
+    records = store(read_archives(spark, path, payloads=False).drop("payload"), "warc-records").withColumn("payload", F.lit(None).cast("binary"))
+    whole = assemble(records).select(
         "capture", F.expr("try_cast(metadata.page_id as bigint)").alias("page_id"), "response.record_type", "response.refers_to", "response.payload_bytes", "response.payload_digest"
     )
     origin = whole.where("record_type = 'response'").select(F.col("capture").alias("refers_to"), F.col("page_id").alias("origin"), F.col("payload_bytes").alias("origin_bytes"))
