@@ -20,7 +20,7 @@ K = 2
 #: Diagonals of one template may differ by so many words and still be one span.
 NEIGHBOUR = 4
 #: The part of a template's words that a span must show.
-COVER = 0.6
+COVER = 0.8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words in lower-cased text.
