@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, license_scan, media, mixing, quality, simhash, token_store, warc
+from skein.llm import decontaminate, license_scan, line_dedup, lm_score, media, mixing, quality, simhash, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,18 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.report(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_license_scan, op2_warc, op3_media_columns, op4_mixing, op5_simhash_near_dedup, op7_quality, op9_token_ids, op10_decontamination]
+    named = [op1_license_scan, op2_warc, op3_media_columns, op4_mixing, op5_simhash_near_dedup, op6_line_dedup, op7_quality, op8_lm_score, op9_token_ids, op10_decontamination]
     return {f.__name__: f for f in named}
 
 
