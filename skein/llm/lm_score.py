@@ -21,7 +21,7 @@ from skein.llm import _text
 from skein.llm._work import store
 
 #: Tokens of one slice, about; a longer text is whole in one slice.
-SLICE_TOKENS = 3_000_000
+SLICE_TOKENS = 1_000_000
 #: Different words and pairs that all slices ask for in one range of hashes, about.
 RANGE_ASKED = 700_000
 #: Of the training rows, one in so many is deleted: its counts predict nothing while weights are learned.
