@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from skein.operators import analytics, evolve, ordered, relational  # noqa: F401  they register their queries
+from skein.operators.registry import QUERIES, SQL
+from skein.streaming import queries as streaming  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
