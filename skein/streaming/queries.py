@@ -20,7 +20,7 @@ def _folder(spark, name: str) -> str:
 def _drained(spark, stream, name: str):
     folder = _folder(spark, name)
     streams.drain(stream, f"{folder}/checkpoint", streams.append_to(f"{folder}/out"))
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
