@@ -90,36 +90,38 @@ def constant(labels: np.ndarray) -> Model:
     return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0, float(np.log(share / (1 - share))))
 
 
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Fit on rows of feature numbers: ratios, dual coordinate descent, then the scale on rows set aside."""
-    aside = np.arange(len(rows)) % SCALE_PART == SCALE_PART - 1
+def fit_rows(flat: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Model:
+    """Fit on rows of feature numbers, row k from first[k] on: ratios, dual coordinate descent, then the scale on rows set aside."""
+    aside = np.arange(len(labels)) % SCALE_PART == SCALE_PART - 1
     if len(set(labels[~aside])) < 2 or len(set(labels[aside])) < 2:
         return constant(labels)
+    row = lambda k: flat[first[k] : first[k + 1]]
     count = np.ones((2, 1 << BITS))
     for k in np.flatnonzero(~aside):
-        count[labels[k]][rows[k]] += 1
+        count[labels[k]][row(k)] += 1
     share = count / count.sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
     weight, bias = np.zeros(1 << BITS), 0.0
-    own = [k for k in np.flatnonzero(~aside) if len(rows[k])]
-    values = {k: ratio[rows[k]] / max(np.linalg.norm(ratio[rows[k]]), 1e-9) for k in own}
+    own = np.flatnonzero(~aside & (np.diff(first) > 0))
+    norm = {k: max(np.linalg.norm(ratio[row(k)]), 1e-9) for k in own.tolist()}
     sign = np.where(labels == 1, 1.0, -1.0)
     amount = np.bincount(labels[own], minlength=2)
     bound = PENALTY * len(own) / (2 * np.maximum(amount, 1))  # both classes weigh the same
-    alpha = dict.fromkeys(own, 0.0)
+    alpha = np.zeros(len(labels))
     rng = np.random.default_rng(5)
     for _ in range(EPOCHS):
         for k in rng.permutation(own).tolist():
-            margin = sign[k] * (weight[rows[k]] @ values[k] + bias)
+            features = row(k)
+            values = ratio[features] / norm[k]
+            margin = sign[k] * (weight[features] @ values + bias)
             new = min(max(alpha[k] - (margin - 1) / 2.0, 0.0), bound[labels[k]])  # the row and the bias have norm 1 each
             if new != alpha[k]:
                 step = (new - alpha[k]) * sign[k]
-                weight[rows[k]] += step * values[k]
+                weight[features] += step * values
                 bias += step
                 alpha[k] = new
     model = Model(ratio, weight, bias, 1.0, 0.0)
-    held = [rows[k] for k in np.flatnonzero(aside)]
-    z = model.margins(np.concatenate(held), np.concatenate([[0], np.cumsum([len(h) for h in held])]))
+    z = np.array([model.margins(row(k), np.array([0, first[k + 1] - first[k]]))[0] for k in np.flatnonzero(aside)])
     model.slope, model.offset = logistic(z, labels[aside])
     return model
 
@@ -156,9 +158,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("_y"), pa.array(rows, pa.binary())], ["k", "y", "rows"])
 
-    found = texts.mapInArrow(run, "k long, y int, rows binary").orderBy("k", "y", "rows").limit(2 * train_rows).collect()
-    y = np.array([r.y for r in found], np.int64)
-    return fit_rows([np.frombuffer(r.rows, np.uint32).astype(np.int64) for r in found], y) if found else constant(y)
+    found = texts.mapInArrow(run, "k long, y int, rows binary").orderBy("k", "y", "rows").limit(2 * train_rows).toArrow()
+    y = found.column("y").to_numpy().astype(np.int64)
+    if not len(y):
+        return constant(y)
+    column = found.column("rows").combine_chunks()
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(y) + 1]
+    # One flat array of all rows' features, without an object for each row.
+    return fit_rows(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint32), (ends - ends[0]).astype(np.int64) // 4, y)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
