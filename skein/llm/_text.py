@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from skein.llm._work import kept_in_worker
+
 #: Texts are handled in slices of about this many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -20,7 +22,6 @@ SOLID_BYTE = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
 _BYTE_VALUE = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def to_bytes(column) -> list[bytes]:
@@ -52,14 +53,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+    # Not a variable of this module: those travel with every function that is sent to a worker.
+    powers = kept_in_worker("powers", dict)
+    if "up" not in powers or len(powers["up"]) < n:
         size = max(n, SLICE_BYTES + 65536)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, factor in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, factor, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            powers[name] = np.multiply.accumulate(steps)
+    return powers["up"][:n], powers["down"][:n]
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
