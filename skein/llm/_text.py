@@ -9,7 +9,7 @@ import numpy as np
 from skein.llm._work import kept_in_worker
 
 #: Texts are handled in slices of about this many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: A-Z to a-z and nothing else.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
