@@ -56,3 +56,15 @@ def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
     if not hasattr(store, name):
         setattr(store, name, make())
     return getattr(store, name)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system; workers live on, and many small pieces keep it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import _text
-from skein.llm._work import store
+from skein.llm._work import give_back, store
 
 #: Tokens of one slice, about; a longer text is whole in one slice.
 SLICE_TOKENS = 1_000_000
@@ -130,6 +130,8 @@ def slice_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         waiting[kind].append((names.slice(a, b - a).filter(pa.array(own)), sizes[own], tokens[np.repeat(own, sizes)]))
                         if sum(len(x[2]) for x in waiting[kind]) >= SLICE_TOKENS:
                             yield flush(kind)
+            del texts
+            give_back()
         for kind, rest in waiting.items():
             if rest:
                 yield flush(kind)
@@ -167,6 +169,8 @@ def ask(slices: DataFrame, parts: int) -> DataFrame:
                         found = []
                 if found:
                     yield _batch(found, ASKED)
+                del one, s, found
+                give_back()
 
     return slices.select("slice", "kind", "words", "seq", "sizes").mapInArrow(run, ASKED)
 
@@ -180,6 +184,7 @@ def tell(asked: DataFrame) -> DataFrame:
     def run(table):
         import pyarrow as pa
 
+        give_back()
         frame = {c: table.column(c).to_pylist() for c in table.column_names}
         kept = np.array(frame["kind"]) == RETAINED
         totals = []
@@ -314,6 +319,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(left, right):
         import pyarrow as pa
 
+        give_back()
         row = _first(left)
         s = Slice.of(row)
         words = _joined(right, "words")
