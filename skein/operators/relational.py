@@ -12,6 +12,8 @@ from skein.sources.tables import cents, load, micros
 WEEK = ("2024-01-12", "2024-01-19")
 #: A keyset cursor: time and id of the last row of a page.
 CURSOR = ("2024-01-10 00:00:00", 3000)
+#: Parts over which the waiters of one lock are dealt.
+SALTS = 8
 
 
 def _ntz(text: str):
@@ -120,6 +122,22 @@ def nullsafe_join(spark, sf):
     return a.join(b, same).select(F.col("a.event_id").alias("waiter"), F.col("b.event_id").alias("holder"))
 
 
+@query(
+    """WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 <> 0 THEN cast(json_extract_string(props, '$.k') AS bigint) END AS k FROM events)
+    SELECT a.event_id AS waiter, b.event_id AS holder FROM e a JOIN e b ON a.user_id = b.user_id AND a.k IS NOT DISTINCT FROM b.k AND a.event_id <> b.event_id
+    WHERE a.event_type = 'error' AND b.event_type = 'purchase'"""
+)
+def blocked_edges(spark, sf):
+    """Requests not granted (error) and the granted ones (purchase) that hold the same lock (user and k, null for none), over all events."""
+    k = F.when(F.col("event_id") % 7 != 0, F.get_json_object("props", "$.k").cast("long")).alias("k")
+    rows = load(spark, sf, "events").select("event_id", "user_id", "event_type", k)
+    # Waiters are dealt over salts and holders stand once under each, so a hot user is several tasks.
+    a = rows.where("event_type = 'error'").withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int")).alias("a")
+    b = rows.where("event_type = 'purchase'").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("b")
+    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.salt") == F.col("b.salt")) & F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.event_id") != F.col("b.event_id"))
+    return a.join(b, same).select(F.col("a.event_id").alias("waiter"), F.col("b.event_id").alias("holder"))
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('P', 'O')")
 def filter_in_list(spark, sf):
     return load(spark, sf, "orders").where(F.col("o_orderstatus").isin("P", "O")).select("o_orderkey", "o_orderstatus")
