@@ -416,6 +416,26 @@ def rank_customers(spark, sf):
     return per.withColumn("place", F.rank().over(Window.orderBy(F.desc("balance_cents"))).cast("long"))
 
 
+@query(
+    """WITH per_customer AS (SELECT o_custkey, sum(cast(round(l_extendedprice * 100) AS bigint)) AS cents FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey)
+    SELECT c_custkey, c_name, cast(cents AS bigint) AS revenue_cents, rank() OVER (ORDER BY cents DESC) AS place FROM per_customer JOIN customer ON c_custkey = o_custkey"""
+)
+def spend_rank(spark, sf):
+    """All customers with order lines by revenue. Ranks are prefix sums over ranges of the revenues; ties share the first place."""
+    per = customer_revenue(spark, sf).join(load(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "revenue_cents")
+    sums = per.groupBy("revenue_cents").agg(F.count("*").alias("n"))
+    # Constants, so that both uses of the ranges agree; they only balance the ranges.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sums.approxQuantile("revenue_cents", [i / parts for i in range(1, parts)], 0.001)
+    above = F.array_size(F.filter(F.lit(bounds), lambda b: b > F.col("revenue_cents"))) if bounds else F.lit(0)
+    sums = sums.withColumn("part", above)
+    parts = sums.groupBy("part").agg(F.sum("n").alias("whole"))  # one row per range
+    parts = parts.select("part", (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("earlier"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy(F.desc("revenue_cents"))) - F.col("n")
+    places = sums.withColumn("within", within).join(F.broadcast(parts), "part").select("revenue_cents", (F.col("earlier") + F.col("within") + 1).alias("place"))
+    return per.join(places, "revenue_cents").select("c_custkey", "c_name", "revenue_cents", "place")
+
+
 # Order, limits and pages.
 
 

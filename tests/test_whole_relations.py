@@ -19,3 +19,15 @@ def test_blocked_edges_reach_over_all_days(spark):
     assert got == expected
     day = {r["event_id"]: r["day"] for r in events}
     assert len({day[w] for w, _ in got}) > 2  # nullsafe_join keeps two days
+
+
+def test_spend_rank_ranks_customers_by_revenue(spark):
+    lines, orders = (load(spark, SF, t).collect() for t in ("lineitem", "orders"))
+    owner, cents = {r["o_orderkey"]: r["o_custkey"] for r in orders}, defaultdict(int)
+    for r in lines:
+        cents[owner[r["l_orderkey"]]] += round(r["l_extendedprice"] * 100)
+    got = {r["c_custkey"]: (r["revenue_cents"], r["place"]) for r in catalog.queries()["spend_rank"](spark, SF).collect()}
+    assert len(got) > 25
+    assert got == {c: (n, 1 + sum(m > n for m in cents.values())) for c, n in cents.items()}
+    top = catalog.queries()["fanout_fixed"](spark, SF).collect()
+    assert [(r["c_custkey"], r["revenue_cents"]) for r in top] == sorted(((c, n) for c, (n, place) in got.items() if place <= 10), key=lambda x: (-x[1], x[0]))[:10]
