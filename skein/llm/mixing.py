@@ -2,7 +2,8 @@
 
 Slots are numbered; slot i draws the golden-ratio point frac(i * phi), which falls into one source's
 share of the cumulated targets. The slots of a source are ranked, and its r-th slot takes the r-th block of
-equally many words of the source's documents in shuffled order, starting again at the end. Ranks and word
+equally many words of the source's documents in shuffled order, starting again at the end. A source that
+draws fewer slots than its target has blocks gets the missing ones after its last. Ranks and word
 offsets are prefix sums of two levels: sums per range, then rows within a range, so that a source
 with a third of all rows is never in one task.
 """
@@ -70,6 +71,14 @@ def schedule(spark, shares: DataFrame, slots: int) -> DataFrame:
     return _numbered(drawn, ["rank"], "range", ["id"], F.lit(1), "r").select("rank", "r")
 
 
+def filled(drawn: DataFrame, shares: DataFrame, block: int) -> DataFrame:
+    """The drawn slots (rank, r) and, of each source, those missing up to the blocks of its target."""
+    counts = drawn.groupBy("rank").agg(F.count("*").alias("n"))
+    wanted = shares.select("rank", F.ceil(F.floor("target") / block).cast("long").alias("wanted")).join(counts, "rank", "left")
+    n = F.coalesce("n", F.lit(0))
+    return drawn.unionByName(wanted.where(n < F.col("wanted")).select("rank", F.explode(F.sequence(n, F.col("wanted") - 1)).alias("r")))
+
+
 def _numbered(rows: DataFrame, group: list[str], range_col: str, order: list, amount: Column, out: str) -> DataFrame:
     """Adds the sum of `amount` over the rows before, within `group`: of earlier ranges, then of the row's range."""
     sums = rows.groupBy(*group, range_col).agg(F.sum(amount).alias("_n"))
@@ -92,7 +101,7 @@ def mix(sizes: DataFrame, seed: int = 7) -> DataFrame:
     n_docs = sizes.count()
     block = max(1, min(BLOCK_WORDS, int(whole) // LEAST_BLOCKS))
     slots = -(-int(whole) // block)
-    taken = schedule(spark, shares, slots)
+    taken = filled(schedule(spark, shares, slots), shares, block)
     ranges = max(1, n_docs // RANGE)
     rows = sizes.where("size > 0").join(shares.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     rows = rows.withColumn("h", F.xxhash64("rid", F.lit(seed))).withColumn("range", F.pmod(F.shiftrightunsigned("h", 32), F.lit(ranges)))
