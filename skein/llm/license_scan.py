@@ -2,8 +2,8 @@
 
 Every rolling word k-gram of every text is joined, by its 64-bit hash and then its words, with the
 k-grams of the templates. Matches of one text and template whose text place minus template place agree lie
-on a diagonal; votes are counted per diagonal, neighbouring diagonals that follow each other are
-merged (they differ by words inserted or left out), and a merged span is a finding if enough of
+on a diagonal; votes are counted per diagonal, neighbouring diagonals are grouped and within a group
+merged where they follow each other (they differ by words inserted or left out), and a merged span is a finding if enough of
 the template's words are verified in it. The templates are a constant of bounded size, so their side is
 broadcast; the texts are read once, and only matches are shuffled.
 """
@@ -91,14 +91,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     votes = hits.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.min("at").alias("first"), (F.max("at") + k - 1).alias("last"), F.sort_array(F.collect_set("place")).alias("places")
     )
-    # A base phrase lies on one diagonal, whole; other diagonals are merged with near ones that follow.
+    # A base phrase lies on one diagonal, whole; others are grouped by nearness of the diagonals, and by place within a group.
     base = F.col("base") & (F.size("places") == F.col("size") - (k - 1))
     votes = votes.where((F.col("template") == "") | base | ~F.col("base"))
-    order = Window.partitionBy("rid", "template").orderBy("first", "diagonal")
-    breaks = F.col("base") | F.col("before").isNull() | (F.abs(F.col("diagonal") - F.col("before")) > neighbour) | (F.col("first") > F.col("end") + F.col("size"))
-    votes = votes.withColumns({"before": F.lag("diagonal").over(order), "end": F.lag("last").over(order)})
+    near = Window.partitionBy("rid", "template").orderBy("diagonal")
+    votes = votes.withColumn("before", F.lag("diagonal").over(near))
+    far = F.col("before").isNull() | (F.col("diagonal") - F.col("before") > neighbour)
+    votes = votes.withColumn("near", F.sum(F.when(far, 1).otherwise(0)).over(near))
+    order = Window.partitionBy("rid", "template", "near").orderBy("first", "diagonal")
+    votes = votes.withColumn("end", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    breaks = F.col("base") | F.col("end").isNull() | (F.col("first") > F.col("end") + F.col("size"))
     votes = votes.withColumn("span", F.sum(F.when(breaks, 1).otherwise(0)).over(order))
-    spans = votes.groupBy("rid", id_col, "n_words", "template", "base", "size", "span").agg(
+    spans = votes.groupBy("rid", id_col, "n_words", "template", "base", "size", "near", "span").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")
     )
     # Verified words of the template: those of any k-gram found.

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skein.llm import mixing
+from skein.llm import license_scan, mixing
 
 
 def test_small_sources_beside_a_hot_one_get_their_target(spark):
@@ -11,3 +11,13 @@ def test_small_sources_beside_a_hot_one_get_their_target(spark):
     rows = mixing.mix(hot.unionByName(tail)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert len(rows) == 201
     assert [r["source"] for r in rows if r["taken"] != int(r["target"])] == []
+
+
+def test_licence_texts_with_a_word_inserted_are_found(spark):
+    rows = []
+    for label, text in license_scan.TEXTS.items():
+        words = license_scan.words_of(text)
+        rows += [(f"{label} {i}", label, " ".join([*words[:i], "inserted", *words[i:]])) for i in range(1, len(words))]
+    docs = spark.createDataFrame(rows, "doc_id string, label string, text string").repartition(4)
+    labels = {r["doc_id"]: r["labels"].split(",") for r in license_scan.report(docs).collect()}
+    assert [r[0] for r in rows if r[1] not in labels[r[0]]] == []
