@@ -65,6 +65,20 @@ def insert_ignore(spark, sf):
     return insert_missing(existing, incoming, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts < timestamp '2024-01-03'),
+    old AS (SELECT user_id, event_id, event_type FROM r WHERE n = 1),
+    late AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts >= timestamp '2024-01-03')
+    SELECT * FROM old UNION ALL SELECT user_id, event_id, event_type FROM late WHERE n = 1 AND user_id NOT IN (SELECT user_id FROM old)"""
+)
+def insert_ignore_stored(spark, sf):
+    """Each user's first row before a date is stored; all later events are inserted and meet the stored rows."""
+    events = _events(spark, sf, "user_id", "event_type")
+    early = F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz")
+    existing = first_per_key(events.where(early), ["user_id"], ["ts", "event_id"])
+    return insert_missing(existing, events.where(~early), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
 @query(
     f"""SELECT c_custkey AS key, coalesce(e.cents, cast(round(c_acctbal * 100) AS bigint)) AS cents, e.cents IS NOT NULL AS updated FROM customer LEFT JOIN
     (SELECT user_id, {CENTS} AS cents FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1) e ON e.user_id = c_custkey"""

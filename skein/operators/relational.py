@@ -277,6 +277,18 @@ def two_cycle(spark, sf):
     return edge.join(back, ["waiter", "holder"], "left_semi").where("waiter < holder")
 
 
+@query(
+    """WITH edge AS (SELECT DISTINCT user_id AS waiter, cast(json_extract_string(props, '$.k') AS bigint) AS holder FROM events)
+    SELECT a.waiter, a.holder FROM edge a JOIN edge b ON a.waiter = b.holder AND a.holder = b.waiter WHERE a.waiter < a.holder"""
+)
+def two_cycle_whole(spark, sf):
+    """Cycles of two between whole ids: each user waits for the ids k of its events."""
+    holder = F.get_json_object("props", "$.k").cast("long").alias("holder")
+    edge = load(spark, sf, "events").select(F.col("user_id").alias("waiter"), holder).distinct()
+    back = edge.select(F.col("holder").alias("waiter"), F.col("waiter").alias("holder"))
+    return edge.join(back, ["waiter", "holder"], "left_semi").where("waiter < holder")
+
+
 @query(
     """WITH j AS (SELECT event_id, user_id, ts AS start, ts + interval 30 minute AS stop FROM events)
     SELECT a.event_id AS first_id, b.event_id AS second_id FROM j a JOIN j b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.start < b.stop AND b.start < a.stop"""
