@@ -51,7 +51,7 @@ STAGES = [
     ("token ids", encode),
 ]
 
-#: The classifier, the fingerprints and the vocabulary are beyond SQL; tests compare with plain versions.
+#: The classifier, the fingerprints and the vocabulary are beyond SQL; tests compare operators with plain versions, the pipeline only with its stages (columns and row counts).
 ORACLE_SQL = None
 
 

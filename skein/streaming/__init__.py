@@ -1 +1 @@
-"""Structured Streaming forms of deduplication, outbox draining, limiting and windowed counts."""
+"""Structured Streaming forms of deduplication, outbox draining and windowed counts."""
