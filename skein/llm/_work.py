@@ -46,7 +46,7 @@ def store(frame: DataFrame, kind: str) -> DataFrame:
     """Write the frame as Parquet below the shared folder and read it back."""
     spark = frame.sparkSession
     path = new_dir(spark, kind)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

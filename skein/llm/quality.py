@@ -49,8 +49,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     run = _text.hash_spans(words.buf, starts, ends)
     size = np.minimum(ends - starts, 4).astype(np.uint64)
     again = np.zeros(len(run), np.uint64)
-    again[1:] |= run[1:] == run[:-1]
-    again[2:] |= run[2:] == run[:-2]
+    for back in (1, 2):  # only within a text: no feature depends on its neighbours
+        again[back:] |= (run[back:] == run[:-back]) & (text[back:] == text[:-back])
     shape = (_SHAPE[words.buf[starts]] * np.uint64(256) + _SHAPE[words.buf[ends - 1]]) * np.uint64(16) + size * np.uint64(2) + again
     keys, owners = [], []
     for kind, (values, longest) in enumerate(((run, 2), (shape, 3))):
@@ -75,7 +75,8 @@ class Model:
         self.ratio, self.weight, self.bias, self.slope, self.offset = ratio, weight, bias, slope, offset
 
     def margins(self, index: np.ndarray, first: np.ndarray) -> np.ndarray:
-        sums = lambda v: np.diff(np.concatenate([[0.0], np.cumsum(v)])[first])
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        sums = lambda v: np.bincount(owner, v, len(first) - 1)  # noqa: E731  each text from zero on, so that no sum depends on its neighbours
         norm = np.sqrt(sums(self.ratio[index] ** 2))
         return sums((self.ratio * self.weight)[index]) / np.maximum(norm, 1e-9) + self.bias
 
@@ -141,7 +142,11 @@ def logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most `train_rows` labelled rows that aren't held out. Null labels and ids are left out."""
+    """Fit on at most `train_rows` labelled rows that aren't held out, those with the smallest hashes of their ids.
+
+    A repeated label or document is a row each time; rows with null labels, labels other than 0 and 1, or null ids are
+    left out. Null texts count as empty. Where a class has no rows every text gets the same score.
+    """
     own = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     sample = own.select(id_col, F.col("quality").cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col, "_y").limit(train_rows)
     # The sample has at most train_rows rows of two numbers, so its size is bounded.
@@ -158,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("_y"), pa.array(rows, pa.binary())], ["k", "y", "rows"])
 
-    found = texts.mapInArrow(run, "k long, y int, rows binary").orderBy("k", "y", "rows").limit(2 * train_rows).toArrow()
+    found = texts.mapInArrow(run, "k long, y int, rows binary").orderBy("k", "y", "rows").limit(train_rows).toArrow()
     y = found.column("y").to_numpy().astype(np.int64)
     if not len(y):
         return constant(y)
@@ -176,15 +181,17 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """
     base = docs.drop(*[f.name for f in ADDED])
     names = base.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: workers have no copy of this module's classes.
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.weight, model.bias, model.slope, model.offset))
 
     def run(batches):
         import pyarrow as pa
 
+        model = Model(*shared.value)
         for batch in batches:
             texts = _text.to_bytes(batch.column(text_col))
             for a, b in _text.slices(texts):
-                score = shared.value.scores(texts[a:b])
+                score = model.scores(texts[a:b])
                 part = batch.slice(a, b - a)
                 added = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *added], [*names, "score", "predicted"])

@@ -159,10 +159,13 @@ def test_lm_score(table):
 
 
 def test_lm_probabilities_sum_to_one():
-    model = lm_score.Model(3, 10, 4, lm_score.learn([(2, 8, 3, 40), (2, lm_score._NEVER, 5, 9)], lm_score.BUCKETS, True))
+    cells = np.array([[2, 8, 3, 40], [2, lm_score._NEVER, 5, 9]])
+    model = lm_score.Model(3, 10, 4, lm_score.learn_pairs(cells, True), lm_score.learn_triples(np.array([[2, 4, 7], [2, lm_score._NEVER, 3]])))
     pair, word = np.array([2.0, 1.0, 0.0, 0.0]), np.array([5.0, 3.0, 2.0, 0.0])
-    assert math.isclose((10 ** model.log10(pair, np.full(4, 3.0), word)).sum(), 1.0)
-    assert math.isclose((10 ** model.log10(np.zeros(4), np.zeros(4), word)).sum(), 1.0)
+    lower = model.of_pairs(pair, np.full(4, 3.0), word)
+    assert math.isclose(lower.sum(), 1.0)
+    assert math.isclose(model.of_pairs(np.zeros(4), np.zeros(4), word).sum(), 1.0)
+    assert math.isclose(model.of_triples(np.array([1.0, 1.0, 0.0, 0.0]), np.full(4, 2.0), lower).sum(), 1.0)
 
 
 def test_packing_round_trips():
