@@ -11,6 +11,11 @@ from skein.llm._work import kept_in_worker
 #: Texts are handled in slices of about this many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of lower-cased text as patterns for columns.
+ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SOLID_WORD = r"[^\x20\x09-\x0D]+"
+
 #: A-Z to a-z and nothing else.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 

@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
@@ -50,6 +52,13 @@ def store(frame: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def filesystem(uri: str) -> tuple[Any, str]:
+    """The file system of a shared path and the path within it, for tasks that read or write files themselves."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+
+
 def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
     """One object per Python worker process, kept over its tasks. Only what any task may rebuild."""
     store = sys.modules.setdefault("skein_kept_in_worker", types.ModuleType("skein_kept_in_worker"))

@@ -3,8 +3,9 @@
 Each task cuts its rows into shards of bounded size, indexes a shard's words and searches all
 phrases backwards through wavelet ranks; occurrences are located by sampled suffix positions and
 their spans merged. Documents are never shuffled, so copies and hot sources cost nothing extra.
-The benchmark comes in blocks of at most `block_words` words, and each block is a pass over the
-documents' partitions: what a task holds has a fixed bound however large the benchmark is.
+The benchmark is dealt into blocks of about `block_words` words, written to the shared folder, and each
+block is a pass over the documents' partitions whose tasks read it there. Between passes the rows
+are written with the spans found so far, so a task holds one block however many there are.
 
 Words outside the block's vocabulary can't be part of an occurrence; a run of them is one
 separator in the index. Words are compared by 64-bit hashes.
@@ -12,16 +13,15 @@ separator in the index. Words are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import _text
+from skein.llm._work import filesystem, kept_in_worker, new_dir, store
 from skein.llm.fm_index import FMIndex
+from skein.llm.prefix_sums import numbered
 
 #: Words of one phrase.
 WINDOW = 13
@@ -36,32 +36,33 @@ ADDED = [
 ]
 
 
+def _null_first(item: str | None) -> tuple[bool, str]:
+    return item is not None, item or ""
+
+
 class Phrases:
-    """The distinct phrases of a block of benchmark items, as rows of word numbers."""
+    """The distinct phrases of some benchmark items, as rows of word numbers, and the items that have each."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         words = _text.Words([text for _, text in items], _text.ALNUM_BYTE)
-        hashes = words.hashes()
-        self.vocabulary, number = np.unique(hashes, return_inverse=True)
-        seen: dict[bytes, int] = {}
-        rows, lengths, owners = [], [], []
-        for i, (item, _) in enumerate(items):
-            sequence = number[words.first[i] : words.first[i + 1]] + 1
-            size = min(window, len(sequence))
-            for k in range(len(sequence) - size + 1 if size else 0):
-                phrase = sequence[k : k + size]
-                at = seen.setdefault(phrase.tobytes(), len(rows))
-                if at == len(rows):
-                    rows.append(np.concatenate([np.zeros(window - size, np.int64), phrase]))
-                    lengths.append(size)
-                    owners.append(set())
-                owners[at].add(item)
-        self.matrix = np.array(rows, np.int64).reshape(len(rows), window)
-        self.lengths = np.array(lengths, np.int64)
-        self.items = sorted({x for own in owners for x in own})
+        self.vocabulary, number = np.unique(words.hashes(), return_inverse=True)
+        number = (number + 1).astype(np.int32)
+        size = np.minimum(words.counts(), window)
+        places = np.where(size > 0, words.counts() - size + 1, 0)
+        item = np.repeat(np.arange(len(items)), places)
+        first = np.arange(places.sum()) - np.repeat(np.cumsum(places) - places, places) + words.first[item]
+        # Aligned to the right; a shorter item's phrase begins with zeros.
+        column = np.arange(window) - (window - size[item])[:, None]
+        at = np.clip(first[:, None] + column, 0, max(len(number) - 1, 0))
+        rows = np.where(column >= 0, number[at], 0) if len(number) else np.zeros((0, window), np.int32)
+        self.matrix, phrase = np.unique(rows, axis=0, return_inverse=True)
+        self.lengths = (self.matrix > 0).sum(axis=1)
+        self.items = sorted({x for x, _ in items}, key=_null_first)
         place = {x: i for i, x in enumerate(self.items)}
-        self.owner_start = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owner = np.array([place[x] for own in owners for x in sorted(own)], np.int64)
+        own = np.array([place[x] for x, _ in items], np.int64)[item]
+        pairs = np.unique(phrase.reshape(-1) * max(len(self.items), 1) + own)
+        self.owner = pairs % max(len(self.items), 1)
+        self.owner_start = np.searchsorted(pairs // max(len(self.items), 1), np.arange(len(self.matrix) + 1))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers from 1; 0 for words that no phrase has."""
@@ -128,23 +129,37 @@ def search_shard(texts: list[bytes], phrases: Phrases, known: list | None) -> li
                 hit[span["first"] : span["last"] + 1] = True
             items |= set(before[1])
         a, b = merged(hit)
-        out.append((n, [{"first": x, "last": y} for x, y in zip(a.tolist(), b.tolist())], sorted(items)))
+        out.append((n, [{"first": x, "last": y} for x, y in zip(a.tolist(), b.tolist())], sorted(items, key=_null_first)))
     return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items in blocks of bounded size, streamed through the driver one by one."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    for item, text in rows.toLocalIterator():
-        raw = text.encode()
-        words = raw.count(b" ") + 1
-        if block and size + words > block_words:
-            yield block
-            block, size = [], 0
-        block.append(("" if item is None else item, raw))
-        size += words
-    yield block
+def write_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> tuple[str, list[int]]:
+    """Write the items that have words as one folder per block of about `block_words` words; the path and the blocks' numbers.
+
+    Items are placed by a prefix sum of their words, so a block exceeds its size by at most its last item.
+    """
+    spark = benchmark.sparkSession
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), _text.UPPER, _text.LOWER)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), lower.alias("text"))
+    items = items.withColumn("n", F.regexp_count("text", F.lit(_text.ALNUM_WORD)).cast("long")).where("n > 0").distinct()
+    placed = numbered(items, ["item", "text"]).withColumn("block", F.floor(F.col("rank") / block_words))
+    path = new_dir(spark, "benchmark")
+    placed.select("item", "text", "block").write.partitionBy("block").parquet(path)
+    numbers = spark.read.schema("item string, text string, block long").parquet(path).select("block").distinct()
+    return path, sorted(r["block"] for r in numbers.collect())
+
+
+def _phrases_of(folder: str, window: int) -> Phrases:
+    """The phrases of a block, built once in a worker, which keeps those of one block."""
+    import pyarrow.parquet as pq
+
+    kept = kept_in_worker("phrases", dict)
+    if (folder, window) not in kept:
+        kept.clear()
+        files, root = filesystem(folder)
+        table = pq.ParquetDataset(root, filesystem=files, partitioning=None).read(columns=["item", "text"])
+        kept[folder, window] = Phrases(list(zip(table.column("item").to_pylist(), _text.to_bytes(table.column("text")))), window)
+    return kept[folder, window]
 
 
 def find_contamination(
@@ -158,30 +173,33 @@ def find_contamination(
 ) -> DataFrame:
     """All rows and columns of `docs` with n_words, merged hit spans and the items that occur.
 
-    A null or empty text has no words and no hits. A null item id counts as the empty id. Items
-    without words have no phrases; repeated rows of either table are searched like any other.
-    Columns of `docs` named n_words, spans or items are replaced. Either table may be empty.
+    A null or empty text has no words and no hits. Items without words have no phrases; rows of one item id are one
+    item, and a null id is an item of its own, listed as null before all others. Repeated rows of either table are
+    searched like any other. Columns of `docs` named n_words, spans or items are replaced. Either table may be empty.
     """
     base = docs.drop(*[f.name for f in ADDED])
     schema = T.StructType([*base.schema.fields, *ADDED])
+    path, numbers = write_blocks(benchmark, item_col, item_text_col, block_words)
+    folders = [f"{path}/block={k}" for k in numbers] or [None]
     out = base
-    for i, block in enumerate(blocks(benchmark, item_col, item_text_col, block_words)):
-        phrases = Phrases(block, window)
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        out = out.mapInArrow(_pass(shared, text_col, i > 0, [f.name for f in base.schema.fields]), schema)
+    for i, folder in enumerate(folders):
+        out = out.mapInArrow(_pass(folder, window, text_col, i > 0, [f.name for f in base.schema.fields]), schema)
+        if i + 1 < len(folders):  # a pass ends before the next begins, so that one block is held at a time
+            out = store(out, "spans")
     return out
 
 
-def _pass(shared, text_col: str, again: bool, columns: list[str]):
+def _pass(folder: str | None, window: int, text_col: str, again: bool, columns: list[str]):
     def run(batches):
         import pyarrow as pa
 
+        phrases = _phrases_of(folder, window) if folder else Phrases([], window)
         spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
             texts = _text.to_bytes(batch.column(text_col))
             known = list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())) if again else None
             for a, b in _text.slices(texts):
-                rows = search_shard(texts[a:b], shared.value, known and known[a:b])
+                rows = search_shard(texts[a:b], phrases, known and known[a:b])
                 part = batch.slice(a, b - a)
                 added = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], spans), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *added], [*columns, "n_words", "spans", "items"])
@@ -214,5 +232,4 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
-        "spans",
     )

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm._work import settle
+from skein.llm.prefix_sums import numbered
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -69,16 +70,6 @@ def windows(places: DataFrame, min_words: int) -> DataFrame:
     return both.select(*DOC, F.inline(runs)).where("at is not null and size is not null").select(*DOC, F.col("at").alias("line"), "size")
 
 
-def numbered(classes: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds rank, the sum of n over the rows before in the order of `keys`: range-sorted, summed per part, then within."""
-    laid = settle(classes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
-    parts = laid.groupBy("part").agg(F.sum("n").alias("whole"))
-    parts = parts.select("part", (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("earlier"))
-    within = F.sum("n").over(Window.partitionBy("part").orderBy(*keys)) - F.col("n")
-    # One row per partition, so its size is bounded by their number.
-    return laid.withColumn("within", within).join(F.broadcast(parts), "part").select(*keys, "n", (F.col("earlier") + F.col("within")).alias("rank"))
-
-
 def ranked(places: DataFrame, keys: list[str]) -> DataFrame:
     """Places with their rank by `keys`; those whose keys stand once, or have a null, go."""
     classes = places.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import _text
-from skein.llm._work import new_dir, store
+from skein.llm._work import filesystem, new_dir, store
 
 #: Samples in a row of an image; payloads are padded with spaces to a multiple of it.
 COLUMNS = 192
@@ -84,12 +84,6 @@ def digest(text_col: str = "text") -> "F.Column":
     return F.sha2(F.concat(raw, F.repeat(F.lit(" "), pad).cast("binary")), 256)
 
 
-def _filesystem(uri: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 def write_shards(docs: DataFrame, path: str, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Store the payloads of all texts below `path`; one row (digest, shard, offset, length) per different payload.
 
@@ -104,7 +98,7 @@ def write_shards(docs: DataFrame, path: str, text_col: str = "text", shard_bytes
         import pyarrow as pa
         from pyspark import TaskContext
 
-        files, root = _filesystem(path)
+        files, root = filesystem(path)
         files.create_dir(root, recursive=True)
         attempt, number, out, sent = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, None, set()
         for batch in batches:
@@ -151,7 +145,7 @@ def read_shards(index: DataFrame, path: str, whole: bool = True) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        files, root = _filesystem(path)
+        files, root = filesystem(path)
         source, name = None, None
         for batch in batches:
             rows = []
