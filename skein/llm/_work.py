@@ -10,6 +10,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +60,18 @@ def filesystem(uri: str) -> tuple[Any, str]:
     return FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+def each_copy(rows: DataFrame, n: str, out: str, part: int = 10_000) -> DataFrame:
+    """Every row `n` times, numbered from 0 in `out`. A row that stands for very many is cut into parts of equal
+    numbers, which are dealt over all tasks before they become rows.
+    """
+    one = rows.where(F.col(n) <= part).withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    cut = rows.where(F.col(n) > part).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / part))))
+    cut = cut.repartition(*[F.col(c) for c in cut.columns])
+    last = F.least(F.col(n), (F.col("_part") + 1) * part) - 1
+    many = cut.withColumn(out, F.explode(F.sequence(F.col("_part") * part, last))).drop("_part")
+    return one.where(F.col(n) > 0).unionByName(many)
+
+
 def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
     """One object per Python worker process, kept over its tasks. Only what any task may rebuild."""
     store = sys.modules.setdefault("skein_kept_in_worker", types.ModuleType("skein_kept_in_worker"))

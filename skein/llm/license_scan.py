@@ -15,6 +15,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.llm._text import LOWER, UPPER
+
 #: Words of one k-gram.
 K = 2
 #: Diagonals of one template may differ by so many words and still be one span.
@@ -22,7 +24,6 @@ NEIGHBOUR = 4
 #: The part of a template's words that a span must show.
 COVER = 0.8
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words in lower-cased text.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

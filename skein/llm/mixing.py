@@ -6,6 +6,9 @@ equally many words of the source's documents in shuffled order, starting again a
 draws fewer slots than its target has blocks gets the missing ones after its last. Ranks and word
 offsets are prefix sums of two levels: sums per range, then rows within a range, so that a source
 with a third of all rows is never in one task.
+
+The order of a source's documents is that of an md5 of id and text, so it doesn't depend on where rows are read. Rows
+that agree in id, source and text are one entry with a number of copies, and share what is taken of it evenly.
 """
 
 from __future__ import annotations
@@ -13,24 +16,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm._work import settle
+from skein.llm._text import SOLID_WORD
+from skein.llm._work import each_copy, settle
 
 PHI = 0.6180339887498949
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Words the mix takes in all, as a part of all words; and at most of one source.
 SHARE, LIMIT = 1.5, 2.0
-#: A block has at most this many words; small tables have smaller blocks, so many for the whole table.
-BLOCK_WORDS, LEAST_BLOCKS = 1024, 50_000
+#: Words of a block.
+BLOCK_WORDS = 1024
+#: Up to so many sources the table of sources is broadcast, beyond them it is shuffled.
+BROADCAST_SOURCES = 10_000
 #: Cells of the unit interval by which points are joined to the sources' shares.
 CELLS = 4096
 #: Slots and documents in one range of a two-level prefix sum, about.
-RANGE = 50_000
+RANGE = 4096
 
 
 def size_of(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(SOLID_WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -88,53 +94,63 @@ def _numbered(rows: DataFrame, group: list[str], range_col: str, order: list, am
     return rows.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(sums, [*group, range_col]).withColumn(out, F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
-def mix(sizes: DataFrame, seed: int = 7) -> DataFrame:
-    """Adds source_size, target and taken to rows of (rid, source, size).
+def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, source, order, size and copies: rows that agree in id, source and text are one entry."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    order = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).cast("binary"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), "source", order.alias("order"), size_of(F.col(text_col)).alias("size"))
+    return rows.groupBy("doc_id", "source", "order", "size").agg(F.count("*").alias("copies"))
+
+
+def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, share: float = SHARE, limit: float = LIMIT, weights: tuple = WEIGHTS) -> DataFrame:
+    """Adds source_size, target and taken to rows of (doc_id, source, order, size, copies).
 
-    taken counts words, repeats too: at most LIMIT times the size. Rows without words take none. An
-    empty table stays empty.
+    taken counts words of all copies, repeats too: at most `limit` times the size of each. Rows without words take
+    none. A null source is a source of its own. An empty table stays empty.
     """
-    spark = sizes.sparkSession
-    sizes = settle(sizes)
-    shares = settle(targets(sizes))
-    whole = shares.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t")).first()["t"]
-    n_docs = sizes.count()
-    block = max(1, min(BLOCK_WORDS, int(whole) // LEAST_BLOCKS))
-    slots = -(-int(whole) // block)
-    taken = filled(schedule(spark, shares, slots), shares, block)
-    ranges = max(1, n_docs // RANGE)
-    rows = sizes.where("size > 0").join(shares.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    rows = rows.withColumn("h", F.xxhash64("rid", F.lit(seed))).withColumn("range", F.pmod(F.shiftrightunsigned("h", 32), F.lit(ranges)))
-    rows = _numbered(rows, ["rank"], "range", ["h", "rid"], F.col("size"), "start")
-    # A source's words stand twice in a row; blocks past its target are nobody's.
+    spark = rows.sparkSession
+    rows = settle(rows)
+    shares = settle(targets(rows.select("source", (F.col("size") * F.col("copies")).alias("size")), weights, share, limit))
+    slots = shares.agg(F.coalesce(F.sum(F.ceil(F.col("target") / block_words)), F.lit(0)).alias("n")).first()["n"]
+    taken = filled(schedule(spark, shares, slots), shares, block_words)
+    ranges = max(1, rows.count() // RANGE)
+    small = shares.count() <= BROADCAST_SOURCES
+    named = rows.join(F.broadcast(shares) if small else shares, rows["source"].eqNullSafe(shares["source"])).drop(shares["source"])
+    named = settle(named.withColumn("range", F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.lit(ranges))))
+    some = _numbered(named.where("size > 0"), ["rank"], "range", ["order", "doc_id"], F.col("size") * F.col("copies"), "start")
+    # A source's words stand several times in a row; blocks past its target are nobody's.
     stop = F.floor("target").cast("long")
     begin = F.col("start") + F.col("epoch") * F.col("source_size")
-    rows = rows.select("rid", "rank", "size", stop.alias("stop"), F.explode(F.sequence(F.lit(0), F.lit(int(LIMIT) - 1))).alias("epoch"), "start", "source_size")
-    rows = rows.select("rid", "rank", "stop", begin.alias("a"), F.least(begin + F.col("size"), F.col("stop")).alias("b")).where("a < b")
-    pieces = rows.withColumn("r", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
-    words = F.least("b", (F.col("r") + 1) * block) - F.greatest("a", F.col("r") * block)
-    got = pieces.select("rid", "rank", "r", words.alias("words")).join(taken, ["rank", "r"]).groupBy("rid").agg(F.sum("words").alias("taken"))
-    named = sizes.join(F.broadcast(shares) if shares.count() <= 10_000 else shares, sizes["source"].eqNullSafe(shares["source"])).drop(shares["source"])
-    return named.join(got, "rid", "left").select(*sizes.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """rid and size of each row beside its doc_id and source."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size_of(F.col(text_col)).alias("size"))
+    epochs = F.explode(F.sequence(F.lit(0), F.lit(-int(-limit // 1) - 1)))
+    key = ["rank", "doc_id", "order"]
+    some = some.select(*key, (F.col("size") * F.col("copies")).alias("size"), stop.alias("stop"), epochs.alias("epoch"), "start", "source_size")
+    some = some.select(*key, "stop", begin.alias("a"), F.least(begin + F.col("size"), F.col("stop")).alias("b")).where("a < b")
+    pieces = some.withColumn("r", F.explode(F.sequence(F.floor(F.col("a") / block_words), F.floor((F.col("b") - 1) / block_words))))
+    words = F.least("b", (F.col("r") + 1) * block_words) - F.greatest("a", F.col("r") * block_words)
+    got = pieces.select(*key, "r", words.alias("words")).join(taken, ["rank", "r"]).groupBy(*key).agg(F.sum("words").alias("taken"))
+    got = settle(got).withColumnsRenamed({"rank": "_rank", "doc_id": "_id", "order": "_order"})
+    same = (F.col("rank") == F.col("_rank")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("order") == F.col("_order"))
+    return named.join(got, same, "left").select(*rows.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document its size, its source's size and target, and the words the mix takes of it."""
-    return mix(sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    each = each_copy(mix(entries(docs)), "copies", "copy")
+    taken = F.floor(F.col("taken") / F.col("copies")) + (F.col("copy") < F.col("taken") % F.col("copies")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: each as often as its taken words fill it, rounded.
 
-    A document without words stays once.
+    A document without words stays once. Rows that agree in id, source and text each stand equally often. Other
+    columns are kept, whatever their names; null ids, sources and texts are values like any other.
     """
-    taken = mix(sized(docs)).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int").alias("copies"))
-    per = taken.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    joined = docs.join(per.withColumnRenamed("doc_id", "name"), F.col("doc_id").eqNullSafe(F.col("name"))).drop("name")
-    each = F.round(F.col("copies") / F.col("rows")).cast("int")
-    return joined.where(each > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), each)).alias("copy")).drop("copy")
+    found = mix(entries(docs), **options)
+    often = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.greatest(F.col("size") * F.col("copies"), F.lit(1)))).cast("int")
+    # Written, so that both sides of the join are plain exchanges, of which a skewed part can be split.
+    per = settle(found.select(F.struct("doc_id", "source", "order").alias("_key"), often.alias("_often")).where("_often > 0"))
+    order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.struct("doc_id", "source", order.alias("order")).alias("_own"))
+    joined = keyed.join(per, F.col("_own").eqNullSafe(F.col("_key")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_often"))).alias("_copy")).select("_row.*")

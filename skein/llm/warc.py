@@ -16,7 +16,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._work import new_dir, store
+from skein.llm._work import each_copy, new_dir, settle, store
 
 CRLF = "\r\n"
 #: Records of one archive file at most.
@@ -52,45 +52,72 @@ def _record(kind: str, record_id: Column, uri: Column, content_type: str, block:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block)
 
 
-def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html and the capture's identifiers; `first` is the capture whose payload this one repeats.
+def _text_of(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("null"))
 
-    Of equal payloads of at least `min_bytes` bytes the smallest page_id (of repeated rows, the first
-    read) is the response; a null page_id sorts last. Smaller payloads are all responses.
-    """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    base = pages.select(F.col("page_id"), F.col("url"), html.alias("html"), F.monotonically_increasing_id().alias("rid"))
-    base = base.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "n": F.octet_length("html")})
-    key = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("rid"))
-    first = base.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min(key).alias("first"))
-    joined = base.join(first, "digest", "left")
-    large = (F.col("n") >= min_bytes) & (F.col("first.rid") != F.col("rid"))
-    return joined.withColumn("first", F.when(large, F.col("first")))
 
+def _html() -> Column:
+    return F.coalesce(F.col("html"), F.lit(""))
 
-def _text_of(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("null"))
+
+def _key(*more: Column) -> Column:
+    """The order of captures: by page id, null last, then by url."""
+    return F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"), *more)
+
+
+def capture_table(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """One row per capture without its payload: key, url, digest, n, copy, and `first`, the key of the capture it repeats.
+
+    Of equal payloads of at least `min_bytes` bytes the smallest page_id (a null one last; of these the smallest url)
+    is the response, and of rows that agree in all of these, copy 0; all others revisit it, which `again` tells.
+    Smaller payloads are all responses.
+    """
+    rows = pages.select(F.col("page_id"), F.col("url"), base32_sha1(_html().cast("binary")).alias("digest"), F.octet_length(_html()).cast("long").alias("n"))
+    rows = rows.groupBy("page_id", "url", "digest", "n").agg(F.count("*").alias("copies")).withColumn("key", _key(F.col("url").isNull().alias("no_url")))
+    rows = settle(rows)
+    # Written, so that the join has plain exchanges on both sides and the rows of a payload with very many copies can be split.
+    first = settle(rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("key").alias("first")))
+    joined = each_copy(rows.join(first, "digest", "left"), "copies", "copy")
+    again = F.col("first").isNotNull() & ((F.col("key") != F.col("first")) | (F.col("copy") > 0))
+    return joined.select("page_id", "url", "digest", "n", "key", "copy", "first", again.alias("again"))
+
+
+def responses(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """The captures that are responses, with their payloads: key, copy, digest, n, url, html. Of equal payloads one is shuffled per task."""
+    no_url = F.col("url").isNull().alias("no_url")
+    rows = pages.select(F.col("page_id"), F.col("url"), _html().alias("html")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
+    rows = rows.withColumns({"n": F.octet_length("html").cast("long"), "key": _key(no_url)})
+    large = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min_by(F.struct("key", "url", "n", "html"), "key").alias("r"))
+    large = large.select("r.key", F.lit(0).cast("long").alias("copy"), "digest", "r.n", "r.url", "r.html")
+    if min_bytes <= 0:
+        return large
+    small = rows.where(F.col("n") < min_bytes).groupBy("page_id", "url", "html", "digest", "n", "key").agg(F.count("*").alias("copies"))
+    return large.unionByName(each_copy(small, "copies", "copy").select("key", "copy", "digest", "n", "url", "html"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, max_records: int = MAX_RECORDS) -> None:
-    """Write request, response or revisit, and metadata records of every row below `path`."""
-    refs = with_references(pages, min_bytes)
-    own = lambda kind, page, rid: _uuid(F.lit(kind), _text_of(page), rid.cast("string"))
-    response_id = own("response", F.col("page_id"), F.col("rid"))
-    uri = F.regexp_replace(F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), _text_of(F.col("page_id")))), r"[\x00-\x20\x7f]", "_")
+    """Write request, response or revisit, and metadata records of every row below `path`.
+
+    A null html is an empty payload, a null url a name made of the page id; a null page id isn't written. Record ids
+    are made of what a capture is and its copy number, never of where it was read. Other columns aren't read.
+    """
+    own = lambda kind, key, digest, copy: _uuid(F.lit(kind), F.to_json(key), digest, copy.cast("string"))
+    capture = own("response", F.col("key"), F.col("digest"), F.col("copy"))
+    uri = F.regexp_replace(F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), _text_of(F.col("key.page_id")))), r"[\x00-\x20\x7f]", "_")
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
     payload = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))
-    response = _record("response", response_id, uri, "application/http; msgtype=response", F.concat(head, F.col("html")), payload)
-    revisit = _record(
-        "revisit", response_id, uri, "application/http; msgtype=response", head, payload, F.lit(f"WARC-Profile: {REVISIT_PROFILE}"),
-        F.concat(F.lit("WARC-Refers-To: "), own("response", F.col("first.page_id"), F.col("first.rid"))),
-    )
-    concurrent = F.concat(F.lit("WARC-Concurrent-To: "), response_id)
-    request = _record("request", own("request", F.col("page_id"), F.col("rid")), uri, "application/http; msgtype=request", F.lit(f"GET / HTTP/1.1{CRLF}{CRLF}"), concurrent)
-    fields = F.concat(F.lit("pageId: "), _text_of(F.col("page_id")), F.lit(CRLF))
-    metadata = _record("metadata", own("metadata", F.col("page_id"), F.col("rid")), uri, "application/warc-fields", fields, concurrent)
-    rows = refs.select(F.explode(F.array(request, F.when(F.col("first").isNull(), response).otherwise(revisit), metadata)).alias("value"))
-    rows.write.options(lineSep=CRLF * 2, compression="gzip", maxRecordsPerFile=max_records).text(path)
+    kind = "application/http; msgtype=response"
+    response = responses(pages, min_bytes).select(_record("response", capture, uri, kind, F.concat(head, F.col("html")), payload).alias("value"))
+    origin = F.concat(F.lit("WARC-Refers-To: "), own("response", F.col("first"), F.col("digest"), F.lit(0)))
+    revisit = _record("revisit", capture, uri, kind, head, payload, F.lit(f"WARC-Profile: {REVISIT_PROFILE}"), origin)
+    concurrent = F.concat(F.lit("WARC-Concurrent-To: "), capture)
+    of_key = (F.col("key"), F.col("digest"), F.col("copy"))
+    request = _record("request", own("request", *of_key), uri, "application/http; msgtype=request", F.lit(f"GET / HTTP/1.1{CRLF}{CRLF}"), concurrent)
+    fields = F.coalesce(F.concat(F.lit("pageId: "), F.to_json(F.struct(F.col("page_id"))), F.lit(CRLF)), F.lit(""))
+    metadata = _record("metadata", own("metadata", *of_key), uri, "application/warc-fields", F.when(F.col("page_id").isNull(), "").otherwise(fields), concurrent)
+    others = capture_table(pages, min_bytes).select(F.explode(F.array(request, metadata, F.when(F.col("again"), revisit))).alias("value")).where("value is not null")
+    for rows in (response, others):
+        rows.write.mode("append").options(lineSep=CRLF * 2, compression="gzip", maxRecordsPerFile=max_records).text(path)
 
 
 def parse_records(content: bytes, payloads: bool = True) -> Iterator[dict]:
@@ -113,7 +140,7 @@ def parse_records(content: bytes, payloads: bool = True) -> Iterator[dict]:
             row["payload_digest"] = text(b"WARC-Payload-Digest").removeprefix("sha1:")
         elif kind == "metadata":
             fields = dict(line.split(b": ", 1) for line in block.split(b"\r\n") if line)
-            row["page_id"] = fields[b"pageId"].decode()
+            row["page_id"] = fields[b"pageId"].decode() if b"pageId" in fields else None
         yield row
 
 
@@ -146,19 +173,22 @@ def assemble(records: DataFrame) -> DataFrame:
     return answer.join(part("request"), "capture", "left").join(part("metadata", "page_id"), "capture", "left")
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Per capture: page id, payload size and digest, type, and the page it refers to."""
+def captures(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """Per capture: page id (of the given type), payload size and digest, record type, and the page it refers to."""
     records = store(read_archives(spark, path, payloads=False).drop("payload"), "warc-records").withColumn("payload", F.lit(None).cast("binary"))
-    whole = assemble(records).select(
-        "capture", F.expr("try_cast(metadata.page_id as bigint)").alias("page_id"), "response.record_type", "response.refers_to", "response.payload_bytes", "response.payload_digest"
+    page = F.from_json("metadata.page_id", f"page_id {id_type}")["page_id"]
+    whole = settle(
+        assemble(records).select("capture", page.alias("page_id"), "response.record_type", F.col("response.refers_to").alias("origin"), "response.payload_bytes", "response.payload_digest")
     )
-    origin = whole.where("record_type = 'response'").select(F.col("capture").alias("refers_to"), F.col("page_id").alias("origin"), F.col("payload_bytes").alias("origin_bytes"))
-    joined = whole.join(origin, "refers_to", "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "origin_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("origin").alias("refers_to"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    answers = whole.where("record_type = 'response'")
+    known = answers.select(F.col("capture").alias("origin"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"))
+    again = whole.where("record_type = 'revisit'").join(known, "origin", "left").withColumn("payload_bytes", F.col("n"))
+    return answers.select(*columns, F.lit(None).cast(id_type).alias("refers_to")).unionByName(again.select(*columns, "refers_to"))
 
 
 def report(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back."""
     path = new_dir(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return captures(pages.sparkSession, path)
+    return captures(pages.sparkSession, path, pages.schema["page_id"].dataType.simpleString())

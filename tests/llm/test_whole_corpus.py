@@ -6,9 +6,10 @@ from skein.llm import license_scan, mixing
 
 
 def test_small_sources_beside_a_hot_one_get_their_target(spark):
-    hot = spark.range(20_000).select(F.col("id").alias("rid"), F.lit("hot").alias("source"), F.lit(2000).cast("long").alias("size"))
-    tail = spark.range(200).select((F.col("id") + 20_000).alias("rid"), F.format_string("tail%03d", "id").alias("source"), (F.col("id") + 1).alias("size"))
-    rows = mixing.mix(hot.unionByName(tail)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    hot = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit(2000).cast("long").alias("size"))
+    tail = spark.range(200).select((F.col("id") + 20_000).alias("doc_id"), F.format_string("tail%03d", "id").alias("source"), (F.col("id") + 1).alias("size"))
+    entries = hot.unionByName(tail).select("*", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("order"), F.lit(1).cast("long").alias("copies"))
+    rows = mixing.mix(entries).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert len(rows) == 201
     assert [r["source"] for r in rows if r["taken"] != int(r["target"])] == []
 
