@@ -1,7 +1,7 @@
-"""Media columns: payloads stored once by content in tar shards; rows carry digest, shard, offset and length.
+"""Media columns: payloads stored by content in tar shards; rows carry digest, shard, offset and length.
 
 A text's bytes become the 8-bit samples of a grey PNG image of 192 columns. Each task writes the images
-of its rows, each different one once, to tar shards of bounded size in the shared folder; no payload is
+of its rows, each different one once per task, to tar shards of bounded size in the shared folder; no payload is
 shuffled. The index keeps one place per digest, and all rows with that digest refer to it. A shard's name
 holds the attempt that wrote it and only the index of a finished attempt names it, so a lost executor
 leaves at worst a file that nothing refers to.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import _text
-from skein.llm._work import filesystem, new_dir, store
+from skein.llm._work import filesystem, new_dir, settle, store
 
 #: Samples in a row of an image; payloads are padded with spaces to a multiple of it.
 COLUMNS = 192
@@ -136,11 +136,11 @@ def write_shards(docs: DataFrame, path: str, text_col: str = "text", shard_bytes
 
 
 META = "digest string, width int, height int, bit_depth int, colour_type int"
-READ = META + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_shards(index: DataFrame, path: str, whole: bool = True) -> DataFrame:
-    """Metadata columns by range reads of headers alone; with `whole`, also what the stored payloads give."""
+    """Of each payload its metadata by a range read of the header alone; with `whole`, what the stored payload gives instead."""
 
     def run(batches):
         import pyarrow as pa
@@ -157,8 +157,10 @@ def read_shards(index: DataFrame, path: str, whole: bool = True) -> DataFrame:
                     source = files.open_input_file(f"{root}/{name}")
                 source.seek(row["offset"])
                 start = source.read(HEADER_BYTES)
-                values = [row["digest"], *header_of(start)]
-                if whole:
+                values = [row["digest"]]
+                if not whole:
+                    values += header_of(start)
+                else:
                     image = start + source.read(row["length"] - HEADER_BYTES)
                     samples = from_png(image)
                     values += [len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(samples)]
@@ -178,14 +180,17 @@ def read_shards(index: DataFrame, path: str, whole: bool = True) -> DataFrame:
 
 
 def with_media(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """`docs` without the text and with digest, shard, offset, length and what reading back gives.
+    """`docs` without the text and with digest, shard, offset, length, metadata and what reading back gives.
 
-    Columns of `docs` that clash with the new ones are replaced. Repeated rows refer to one stored
-    payload. An empty table gives an empty result and no shards.
+    The metadata columns (width, height, bit depth, colour type) come from reads of HEADER_BYTES bytes, the others
+    from whole stored payloads. Columns of `docs` that clash with the new ones are replaced. Null and empty texts are
+    the payload of spaces alone. Repeated rows refer to one stored payload. An empty table gives an empty result and no shards.
     """
     path = path or new_dir(docs.sparkSession, "media")
     index = write_shards(docs, path, text_col)
-    media = index.join(read_shards(index, path), "digest")
+    media = index.join(read_shards(index, path, whole=False), "digest").join(read_shards(index, path), "digest")
+    # Written, so that the join has plain exchanges on both sides and the rows of a payload with very many copies can be split.
+    media = settle(media)
     rows = docs.withColumns({"digest": digest(text_col), "n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")})
     own = [c for c in docs.columns if c not in (text_col, *media.columns, "n_bytes")]
     return rows.select(*own, "n_bytes", "digest").join(media, "digest")

@@ -27,6 +27,8 @@ LANES = 5
 SHINGLE = 3
 SEED = 42
 TILE_ROWS = 4096
+#: Rows of tiles that one task compares, about; fewer where there are fewer rows than tasks to run.
+PART_ROWS = 100_000
 
 # Byte value -> eight bytes, each one bit of it, lowest first.
 _SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
@@ -89,31 +91,44 @@ def lane_keys(lanes: int, radius: int) -> list[tuple[int, int]]:
     return [(i, sum(masks[k] for k in some)) for i, some in enumerate(combinations(range(lanes), lanes - radius))]
 
 
-def forest(x: np.ndarray, y: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between x and y: sorted tiles, compared where population counts allow."""
-    px, py = np.bitwise_count(x), np.bitwise_count(y)
-    ox, oy = np.argsort(px, kind="stable"), np.argsort(py, kind="stable")
-    x, y, px, py = x[ox], y[oy], px[ox].astype(np.int64), py[oy].astype(np.int64)
-    parent: dict[int, int] = {}
+def _roots(parent: np.ndarray) -> np.ndarray:
+    """Each node's smallest known ancestor."""
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return parent
+        parent = up
+
 
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = v = parent[parent[v]]
-        return v
+def forest(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs that connect all that the links between x and y connect: each value with the smallest of its component.
 
-    out = []
+    Tiles are sorted by population count and compared where these counts allow. A tile's links are hooked into the
+    array of parents all at once, the larger root below the smaller one, until no link joins two roots.
+    """
+    values, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    at_x, at_y = place[: len(x)], place[len(x) :]
+    px, py = np.bitwise_count(x).astype(np.int64), np.bitwise_count(y).astype(np.int64)
+    ox, oy = np.argsort(px, kind="stable"), np.argsort(py, kind="stable")
+    x, at_x, px, y, at_y, py = x[ox], at_x[ox], px[ox], y[oy], at_y[oy], py[oy]
+    parent = np.arange(len(values))
     step = 256
     for a in range(0, len(x), step):
         lo = np.searchsorted(py, px[a] - radius, "left")
         hi = np.searchsorted(py, px[min(a + step, len(x)) - 1] + radius, "right")
         for b in range(lo, hi, 4 * step):
-            tile = y[b : min(b + 4 * step, hi)]
-            i, j = np.nonzero(np.bitwise_count(x[a : a + step, None] ^ tile[None, :]) <= radius)
-            for u, v in zip(x[a + i].tolist(), tile[j].tolist()):
-                if u != v and (ru := root(u)) != (rv := root(v)):
-                    parent[max(ru, rv)] = min(ru, rv)
-                    out.append((u, v))
-    return out
+            i, j = np.nonzero(np.bitwise_count(x[a : a + step, None] ^ y[None, b : min(b + 4 * step, hi)]) <= radius)
+            i, j = at_x[a + i], at_y[b + j]
+            while len(i):
+                u, v = parent[i], parent[j]
+                apart = u != v
+                if not apart.any():
+                    break
+                i, j, u, v = i[apart], j[apart], u[apart], v[apart]
+                np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+                parent = _roots(parent)
+    below = np.flatnonzero(parent != np.arange(len(values)))
+    return np.stack([values[below], values[parent[below]]], 1)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = LANES, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -140,9 +155,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = LANES, tile_ro
         side = frame["side"].to_numpy()
         left, right = values[side == 0], values[side == 1]
         found = forest(left, left if key[2] == "" or _same(key[2]) else right, radius)
-        return pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+        return pd.DataFrame(found.reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
-    return _grouped(small.unionByName(large), compare)
+    size = tiles.agg(F.coalesce(F.sum(F.col("n") * F.col("n") / F.least(F.col("n"), F.lit(tile_rows))), F.lit(0.0))).first()[0]
+    tasks = 2 * distinct.sparkSession.sparkContext.defaultParallelism
+    return _grouped(small.unionByName(large), compare, max(tasks, int(size // PART_ROWS) + 1))
 
 
 def _same(pair: str) -> bool:
@@ -152,7 +169,7 @@ def _same(pair: str) -> bool:
     return a == b
 
 
-def _grouped(rows: DataFrame, compare) -> DataFrame:
+def _grouped(rows: DataFrame, compare, parts: int) -> DataFrame:
     """Whole groups in whole partitions: many groups share one Python call."""
 
     def run(frames):
@@ -169,7 +186,8 @@ def _grouped(rows: DataFrame, compare) -> DataFrame:
         if rest is not None and len(rest):
             yield from _compared(rest, np.array([0]), compare)
 
-    keyed = rows.repartition("lane", "value", "pair").sortWithinPartitions("lane", "value", "pair")
+    # A fixed number of parts: by their bytes alone the small rows of all tiles would be merged into one task.
+    keyed = rows.repartition(parts, "lane", "value", "pair").sortWithinPartitions("lane", "value", "pair")
     return keyed.mapInPandas(run, "a long, b long")
 
 
@@ -189,7 +207,17 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def _named(prints: DataFrame, least: "F.Column", radius: int, tile_rows: int) -> DataFrame:
+    """fp and `least` over all rows that its links reach."""
+    distinct = settle(prints.groupBy("fp").agg(least.alias("least")))
+    roots = components(links(distinct.select("fp"), radius, tile_rows=tile_rows))
+    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    whole = member.groupBy("root").agg(F.min("least").alias("least"))
+    # Written, so that joins with it have plain exchanges on both sides and the rows of a very common fingerprint can be split.
+    return settle(member.select("fp", "root").join(whole, "root").select(F.col("fp").alias("_fp"), "least"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per row of `docs`: id, fp (signed long) and component_id.
 
     component_id is the smallest id of all rows whose fingerprints are reachable by links of at most
@@ -197,23 +225,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts without words have fingerprint zero, linked like any other. Repeated rows stay repeated.
     """
     prints = settle(with_fingerprint(docs.select(id_col, text_col), text_col))
-    distinct = settle(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    roots = components(links(distinct.select("fp"), radius))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    named = _named(prints, F.min(id_col), radius, tile_rows)
+    return prints.join(named, F.col("fp") == F.col("_fp")).select(id_col, "fp", F.col("least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one row of each group of near-duplicates: that with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """`docs` with one row of each group of near-duplicates: that with the smallest id (null last), then the smallest text hash.
 
-    Of repeated rows with one id, one stays. Rows with a null id can't be told apart and all stay.
+    Rows are told apart by id and text, so other texts under the same id are kept or dropped on their own. Of rows
+    that agree in both, one stays. Other columns are kept, whatever their names.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[F.xxhash64(F.lit(k), F.coalesce(F.col(text_col), F.lit(""))).alias(f"h{k}") for k in (1, 2)])
+    keyed = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"))
+    prints = settle(with_fingerprint(docs.select(key.alias("key"), F.col(text_col).alias("text"))))
+    kept = _named(prints, F.min("key"), radius, tile_rows).select(F.col("least").alias("_kept")).distinct()
+    found = keyed.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    return found.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
