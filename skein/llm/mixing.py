@@ -116,7 +116,8 @@ def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, share: float = SHARE, l
     ranges = max(1, rows.count() // RANGE)
     small = shares.count() <= BROADCAST_SOURCES
     named = rows.join(F.broadcast(shares) if small else shares, rows["source"].eqNullSafe(shares["source"])).drop(shares["source"])
-    named = settle(named.withColumn("range", F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.lit(ranges))))
+    # Ranges follow the order, so that their number changes no result.
+    named = settle(named.withColumn("range", F.shiftright(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * ranges, 32)))
     some = _numbered(named.where("size > 0"), ["rank"], "range", ["order", "doc_id"], F.col("size") * F.col("copies"), "start")
     # A source's words stand several times in a row; blocks past its target are nobody's.
     stop = F.floor("target").cast("long")

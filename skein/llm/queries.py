@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontaminate, license_scan, line_dedup, lm_score, media, mixing, quality, simhash, token_store, warc
+from skein.llm.sql import SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +57,5 @@ def queries() -> dict:
     return {f.__name__: f for f in named}
 
 
-#: DuckDB SQL of the queries that SQL can express on whole tables.
-SQL: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
