@@ -1,7 +1,13 @@
 """The corpus pipeline: `documents` filtered, deduplicated, decontaminated, mixed and encoded.
 
 Each stage is a function of (spark, docs, sf_dir); its rows are written as Parquet in the shared folder and
-read again as the next stage's `docs`. All but the last return the columns of `documents`.
+read again as the next stage's `docs`. All but the last return the columns of `documents`. A stage's rows
+are deleted once the next one's are written.
+
+Null and empty texts have no words: the classifier scores them as empty, they are one group of near-duplicates, never
+contaminated, stay once in the mix and give the end id only. Rows with null ids are kept or dropped like others and
+come first in the files; rows of one id with different texts are decided each on its own, and of rows that agree in id
+and text one is left. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontaminate, mixing, quality, simhash, token_store
-from skein.llm._work import new_dir, store
+from skein.llm._work import new_dir, remove, store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +28,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
+    """One document of each group of near-duplicates: that with the smallest id, then text hash."""
     return simhash.keep_one(docs)
 
 
@@ -51,13 +57,16 @@ STAGES = [
     ("token ids", encode),
 ]
 
-#: The classifier, the fingerprints and the vocabulary are beyond SQL; tests compare operators with plain versions, the pipeline only with its stages (columns and row counts).
+#: The classifier, the fingerprints and the vocabulary are beyond SQL; tests compare each stage's rows with a plain program's.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    docs = _table(spark, sf_dir, "documents")
+    docs, written = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, written = written, new_dir(spark, name.replace(" ", "-"))
+        docs = store(stage(spark, docs, sf_dir), name, written)
+        if before:
+            remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,14 +45,20 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def store(frame: DataFrame, kind: str) -> DataFrame:
-    """Write the frame as Parquet below the shared folder and read it back."""
+def store(frame: DataFrame, kind: str, path: str | None = None) -> DataFrame:
+    """Write the frame as Parquet below the shared folder (or at `path`) and read it back."""
     spark = frame.sparkSession
-    path = new_dir(spark, kind)
+    path = path or new_dir(spark, kind)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or file below the shared folder that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def filesystem(uri: str) -> tuple[Any, str]:
     """The file system of a shared path and the path within it, for tasks that read or write files themselves."""
     from pyarrow.fs import FileSystem

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import _text
-from skein.llm._work import filesystem, kept_in_worker, new_dir, store
+from skein.llm._work import filesystem, kept_in_worker, new_dir, remove, store
 from skein.llm.fm_index import FMIndex
 from skein.llm.prefix_sums import numbered
 
@@ -181,11 +181,14 @@ def find_contamination(
     schema = T.StructType([*base.schema.fields, *ADDED])
     path, numbers = write_blocks(benchmark, item_col, item_text_col, block_words)
     folders = [f"{path}/block={k}" for k in numbers] or [None]
-    out = base
+    out, written = base, None
     for i, folder in enumerate(folders):
         out = out.mapInArrow(_pass(folder, window, text_col, i > 0, [f.name for f in base.schema.fields]), schema)
         if i + 1 < len(folders):  # a pass ends before the next begins, so that one block is held at a time
-            out = store(out, "spans")
+            before, written = written, new_dir(docs.sparkSession, "spans")
+            out = store(out, "spans", written)
+            if before:
+                remove(docs.sparkSession, before)
     return out
 
 

@@ -236,17 +236,3 @@ def test_empty_tables_and_clashing_columns(spark, docs):
     assert line_dedup.dedup_lines(more).count() == len(ROWS)
     assert decontaminate.find_contamination(more, benchmark).count() == len(ROWS)
     assert simhash.keep_one(more).columns == more.columns
-
-
-def test_pipeline_is_its_stages(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for name, stage in p.STAGES[:-1]:
-        docs = p.store(stage(spark, docs, SF), "test")
-        assert docs.columns == columns, name
-        if name != "source mixing":
-            assert docs.count() <= before
-            before = docs.count()
-    assert p.run(spark, SF).count() == docs.count()
