@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Upper bounds of the latency histogram, in the unit of the value.
@@ -14,19 +14,36 @@ def nearest_rank(p: float, column: str) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
-def floor_index(frame: DataFrame, keys: list[str], column: str, p: float, tie: str) -> DataFrame:
-    """Per key the value at place min(n - 1, floor(n * p)) from 0. Differs from nearest rank where n * p is whole."""
-    own = Window.partitionBy(*keys)
-    placed = frame.withColumns({"_r": F.row_number().over(own.orderBy(column, tie)), "_n": F.count("*").over(own)})
-    return placed.where(F.col("_r") == F.least(F.col("_n"), F.floor(F.col("_n") * F.lit(p)) + 1)).drop("_r")
-
-
 def signed_md5_key(column: str) -> Column:
     """The first 32 bits of the md5 as a signed number."""
     bits = F.conv(F.substring(F.md5(F.col(column).cast("binary")), 1, 8), 16, 10).cast("long")
     return F.when(bits >= 2**31, bits - 2**32).otherwise(bits)
 
 
+def keyed_hash(column: str) -> Column:
+    """A 64-bit key of a text: XXH64 of its UTF-8 bytes with seed 42, as a signed number."""
+    return F.xxhash64(F.col(column))
+
+
+def uuid_of(*columns: str) -> Column:
+    """A UUID made of a row's values, the same in every run: their md5, null values as empty."""
+    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
+    return F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def jittered(seconds: int, spread: int, column: str) -> Column:
+    """A time to live of `seconds` give or take `spread`, drawn from a key's md5."""
+    bits = F.conv(F.substring(F.md5(F.col(column).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.lit(seconds - spread).cast("long") + bits % (2 * spread + 1)
+
+
+def labels_text(pairs: dict[str, Column]) -> Column:
+    """{name="value",...} of a metric's labels, in their order; quotes, backslashes and line ends are escaped."""
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    parts = [F.concat(F.lit(f'{name}="'), plain(c.cast("string")), F.lit('"')) for name, c in pairs.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def collision_probability(n: Column, bits: int) -> Column:
     """Birthday bound of a collision among n keys."""
     n = n.cast("double")

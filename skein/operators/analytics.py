@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein import functions as X
+from skein.functions import running
 from skein.operators.registry import query
 from skein.sources.tables import cents, load, micros
 
@@ -26,12 +28,6 @@ def safe_ratio(spark, sf):
     return load(spark, sf, "events").groupBy("user_id").agg(F.round(F.lit(100.0) * errors / F.nullif(others, F.lit(0)), 1).alias("percent"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 6 >= 4 THEN 'failed' ELSE 'pending' END AS status FROM events WHERE event_type = 'error'")
-def retry_status_case(spark, sf):
-    attempts = F.col("event_id") % 6
-    return load(spark, sf, "events").where("event_type = 'error'").select("event_id", F.when(attempts >= 4, "failed").otherwise("pending").alias("status"))
-
-
 @query("SELECT c_custkey, greatest(cast(round(c_acctbal * 100) AS bigint) - 500000, 0) AS left_cents FROM customer")
 def clamp_nonneg(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", F.greatest(cents("c_acctbal") - 500000, F.lit(0)).alias("left_cents"))
@@ -66,10 +62,17 @@ def lag_ms(spark, sf):
     return load(spark, sf, "events").select("event_id", ((micros("ts") - F.lit(1704067200000000)) / 1000).alias("lag_ms"))
 
 
-@query("SELECT event_id, event_id * 64 - user_id AS lag_bytes, event_id * 64 >= user_id * 4096 AS replayed FROM events")
+@query(
+    """WITH l AS (SELECT event_id, user_id, ts, sum(strlen(props)) OVER (ORDER BY ts, event_id) AS position FROM events)
+    SELECT event_id, cast(position - lag(position, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bigint) AS lag_bytes,
+    position - lag(position, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 2048 AS caught_up FROM l"""
+)
 def lag_bytes(spark, sf):
-    at = F.col("event_id") * 64
-    return load(spark, sf, "events").select("event_id", (at - F.col("user_id")).alias("lag_bytes"), (at >= F.col("user_id") * 4096).alias("replayed"))
+    """Positions in the log of all events, in bytes; each user is a reader that has read up to its last event."""
+    rows = load(spark, sf, "events").select("event_id", "user_id", "ts", F.octet_length("props").alias("bytes"))
+    placed = running.running(rows, [], ["ts", "event_id"], {"before": F.col("bytes")}).withColumn("position", F.col("before") + F.col("bytes"))
+    lag = F.col("position") - F.lag("position", 1, 0).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return placed.select("event_id", lag.alias("lag_bytes"), (lag <= 2048).alias("caught_up"))
 
 
 @query("SELECT event_id, event_type AS what, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
@@ -99,13 +102,13 @@ def _summary(what: str) -> str:
     min({CENTS}) AS least, max({CENTS}) AS most FROM events"""
 
 
-def _percentiles() -> list:
-    return [X.nearest_rank(p, "cents").cast("long").alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)] + [F.min("cents").alias("least"), F.max("cents").alias("most")]
+def _summaries(rows, keys: list[str]):
+    return running.percentiles(rows, keys, "cents", {f"p{round(p * 100)}": running.nearest(p) for p in (0.5, 0.95, 0.99)})
 
 
 @query(_summary("event_type,") + " GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    return load(spark, sf, "events").select("event_type", cents("value").alias("cents")).groupBy("event_type").agg(F.count("*").alias("n"), *_percentiles())
+    return _summaries(load(spark, sf, "events").select("event_type", cents("value").alias("cents")), ["event_type"])
 
 
 @query(
@@ -116,7 +119,8 @@ def latency_percentiles(spark, sf):
 def route_rollup(spark, sf):
     rows = load(spark, sf, "events").select((F.col("user_id") % 10).alias("route"), "event_type", cents("value").alias("cents"))
     rate = F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 4)
-    return rows.groupBy("route").agg(F.count("*").alias("total"), rate.alias("error_rate"), *_percentiles())
+    per = rows.groupBy("route").agg(F.count("*").alias("total"), rate.alias("error_rate"))
+    return per.join(_summaries(rows, ["route"]).drop("n"), "route")
 
 
 @query(
@@ -124,8 +128,18 @@ def route_rollup(spark, sf):
     count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r = least(n, floor(n * 0.5) + 1)"""
 )
 def percentile_floor_index(spark, sf):
-    rows = load(spark, sf, "events").select("event_type", "event_id", cents("value").alias("p50_cents"))
-    return X.floor_index(rows, ["event_type"], "p50_cents", 0.5, "event_id").select("event_type", "p50_cents")
+    rows = load(spark, sf, "events").select("event_type", cents("value").alias("cents"))
+    return running.percentiles(rows, ["event_type"], "cents", {"p50_cents": running.floor_rank(0.5)}).select("event_type", "p50_cents")
+
+
+@query(
+    f"""SELECT user_id, {CENTS} AS median_cents FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {CENTS}, event_id) AS r,
+    count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE n % 2 = 1 AND r = n // 2 + 1"""
+)
+def upper_median_odd(spark, sf):
+    """The middle value of users with an odd number of events."""
+    rows = load(spark, sf, "events").select("user_id", cents("value").alias("cents"))
+    return running.percentiles(rows, ["user_id"], "cents", {"median_cents": running.floor_rank(0.5)}).where("n % 2 = 1").select("user_id", "median_cents")
 
 
 @query(f"SELECT user_id, median({CENTS}) AS median_cents FROM events GROUP BY user_id")
@@ -149,8 +163,6 @@ def histogram_buckets(spark, sf):
     (SELECT event_type, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) GROUP BY event_type"""
 )
 def lag_summary(spark, sf):
-    from pyspark.sql import Window
-
     own = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gaps = load(spark, sf, "events").select("event_type", (micros("ts") - F.lag(micros("ts")).over(own)).alias("gap"))
     return gaps.groupBy("event_type").agg(F.avg("gap").alias("mean_us"), F.min("gap").alias("least_us"), F.max("gap").alias("most_us"))
@@ -168,18 +180,3 @@ def route_rate(spark, sf):
 def saga_log_stats(spark, sf):
     actor = F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("long") % 5).cast("string"))
     return load(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("entries"), F.array_join(F.array_sort(F.collect_set(actor)), ",").alias("actors"))
-
-
-@query("SELECT event_id, CASE WHEN value > 60 THEN 'timeout' WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS outcome FROM events")
-def timeout_classify(spark, sf):
-    outcome = F.when(F.col("value") > 60, "timeout").when(F.col("event_type") == "error", "error").otherwise("ok")
-    return load(spark, sf, "events").select("event_id", outcome.alias("outcome"))
-
-
-@query(
-    """SELECT event_type, cast(sum(CASE WHEN event_id % 9 = 0 THEN 5 ELSE event_id % 3 + 1 END) AS bigint) AS calls, count(*) AS callers FROM events GROUP BY event_type"""
-)
-def retry_amplification(spark, sf):
-    # A caller whose attempts all fail makes five; the others stop at their first success.
-    attempts = F.when(F.col("event_id") % 9 == 0, 5).otherwise(F.col("event_id") % 3 + 1)
-    return load(spark, sf, "events").groupBy("event_type").agg(F.sum(attempts).alias("calls"), F.count("*").alias("callers"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.operators import analytics, evolve, ordered, relational  # noqa: F401  they register their queries
+from skein.operators import analytics, evolve, layouts, ordered, queues, relational, sinks  # noqa: F401  they register their queries
 from skein.operators.registry import QUERIES, SQL
 from skein.streaming import queries as streaming  # noqa: F401
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.registry import query
-from skein.sources.layout import by_list, unmatched
+from skein.shared import new_dir
+from skein.sources.layout import unmatched
 from skein.sources.tables import cents, load
 
 CENTS = "cast(round(value * 100) AS bigint)"
@@ -148,24 +149,6 @@ def fencing_accept(spark, sf):
     return rows.select("event_id", (F.col("token") > F.coalesce(before, F.lit(0))).alias("accepted"))
 
 
-@query(
-    """SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'SOLD' WHEN event_type = 'view' AND ts + interval 10 minute < timestamp '2024-01-15' THEN 'AVAILABLE'
-    WHEN event_type = 'view' THEN 'RESERVED' ELSE 'AVAILABLE' END AS seat FROM events"""
-)
-def expire_holds(spark, sf):
-    expired = F.expr("ts + interval 10 minutes < timestamp_ntz'2024-01-15'")
-    held = F.col("event_type") == "view"
-    seat = F.when(F.col("event_type") == "purchase", "SOLD").when(held & ~expired, "RESERVED").otherwise("AVAILABLE")
-    return load(spark, sf, "events").select("event_id", seat.alias("seat"))
-
-
-@query("SELECT event_id, (row_number() OVER (PARTITION BY cast(ts AS date) ORDER BY ts, event_id) - 1) % 5 AS worker FROM events")
-def claim_assignment(spark, sf):
-    # Queues are days; within a queue the oldest go first, to each worker in turn.
-    place = F.row_number().over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
-    return load(spark, sf, "events").select("event_id", ((place - 1) % 5).cast("long").alias("worker"))
-
-
 @query("SELECT event_id, event_type FROM events WHERE event_type <> 'click' ORDER BY ts, event_id LIMIT 100")
 def outbox_drain(spark, sf):
     return _events(spark, sf, "event_type").where("event_type <> 'click'").orderBy("ts", "event_id").limit(100).select("event_id", "event_type")
@@ -189,8 +172,13 @@ def backfill_points(spark, sf):
 
 @query("SELECT c_custkey, c_name, c_name AS display_name, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS shown FROM customer")
 def expand_contract(spark, sf):
-    # A new column is added empty, written for even keys by new code, filled for the rest, and read from then on.
-    expanded = load(spark, sf, "customer").withColumn("shown", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")))
+    """Files written before a column was added and files of both writers are read as one table, and the gaps filled."""
+    path, rows = new_dir(spark, "expanding"), load(spark, sf, "customer").select("c_custkey", "c_name")
+    old = rows.where("c_custkey % 2 <> 0")  # written by old code, without the new column
+    new = rows.where("c_custkey % 2 = 0").withColumn("shown", F.upper("c_name"))  # written by new code, both columns
+    old.write.parquet(f"{path}/writer=old")
+    new.write.parquet(f"{path}/writer=new")
+    expanded = spark.read.option("mergeSchema", "true").parquet(path)
     return expanded.select("c_custkey", "c_name", F.col("c_name").alias("display_name"), F.coalesce("shown", "c_name").alias("shown"))
 
 
@@ -208,16 +196,6 @@ def bulk_reclassify(spark, sf):
     return orders.join(first, "o_orderkey", "left").select("o_orderkey", F.coalesce("new", "o_orderstatus").alias("status"))
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
-def partition_counts(spark, sf):
-    return load(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE '__default__' END AS part, count(*) AS n FROM events GROUP BY 1")
-def list_partition_counts(spark, sf):
-    return load(spark, sf, "events").groupBy(by_list("event_type", ["click", "view"]).alias("part")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE NOT (o_orderdate >= timestamp '1996-01-01' AND o_orderdate < timestamp '2001-01-01')")
 def unmatched_partition(spark, sf):
     return unmatched(load(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "1996-01-01", "2001-01-01")

@@ -27,6 +27,32 @@ def write_partitioned(frame: DataFrame, path: str, part: Column, name: str, mode
     rows.repartition(F.col(name), salt).write.mode(mode).partitionBy(name).parquet(path)
 
 
+def by_month(column: str) -> Column:
+    """A range partition's name: the month, as yyyy-MM."""
+    return F.date_format(column, "yyyy-MM")
+
+
+def between(column: str, name: str, low: str, high: str) -> Column:
+    """The half-open range low <= column < high over a layout by month: months outside it aren't read."""
+    start, stop = F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")
+    months = (F.col(name) >= low[:7]) & (F.col(name) <= high[:7]) if high[7:] not in ("", "-01") else (F.col(name) >= low[:7]) & (F.col(name) < high[:7])
+    return months & (F.col(column) >= start) & (F.col(column) < stop)
+
+
+def detach_partition(spark: SparkSession, path: str, name: str, value: str, to: str) -> bool:
+    """Move a partition's folder out of the layout: its rows are a table of their own at `to`, and none is read. False if there is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}/{name}={value}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(folder) and fs.rename(folder, hadoop.Path(to)))
+
+
+def truncate(spark: SparkSession, path: str) -> None:
+    """Remove all rows of a layout; its schema stays in one empty file."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def partitions(spark: SparkSession, path: str) -> list[str]:
     """Names of the partition folders below a path."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from skein.operators.registry import query
+from skein.shared import new_dir
 from skein.streaming import streams
 
 
-def _folder(spark, name: str) -> str:
-    """A fresh folder below the shared one; where none is set (one machine) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _drained(spark, stream, name: str):
-    folder = _folder(spark, name)
+    folder = new_dir(spark, name)
     streams.drain(stream, f"{folder}/checkpoint", streams.append_to(f"{folder}/out"))
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from skein import functions as X
 from skein import plans
-from skein.operators import catalog, evolve
+from skein.functions import running
+from skein.operators import catalog, evolve, layouts
 from skein.sources import layout, logs
 from skein.sources.tables import load
 
@@ -66,10 +67,46 @@ def test_policy_denies_by_default(spark):
 
 
 def test_three_percentiles_differ_where_they_should(spark):
-    frame = spark.range(1, 11).selectExpr("1 AS k", "id AS v", "id")
-    assert frame.agg(X.nearest_rank(0.5, "v")).first()[0] == 5
-    assert X.floor_index(frame, ["k"], "v", 0.5, "id").first()["v"] == 6
-    assert frame.agg(F.median("v")).first()[0] == 5.5
+    frame = spark.range(1, 11).selectExpr("1 AS k", "id AS v", "id").unionByName(spark.createDataFrame([(2, None, 11), (None, 5, 12)], "k int, v long, id long"))
+    got = {r["k"]: r for r in running.percentiles(frame, ["k"], "v", {"near": running.nearest(0.5), "floor": running.floor_rank(0.5)}).collect()}
+    assert (got[1]["near"], got[1]["floor"], got[1]["n"], got[1]["least"], got[1]["most"]) == (5, 6, 10, 1, 10)
+    assert got[None]["near"] == 5 and 2 not in got
+    one = frame.where("k = 1")
+    assert one.agg(X.nearest_rank(0.5, "v")).first()[0] == 5 and one.agg(F.median("v")).first()[0] == 5.5
+
+
+def test_running_sums_over_many_parts(spark):
+    rows = [(k, i, i % 5) for k in (None, "a", "hot") for i in range(400 if k == "hot" else 7)]
+    frame = spark.createDataFrame(rows, "k string, at long, n long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["k"], r["at"]): r["before"] for r in running.running(frame, ["k"], ["at"], {"before": F.col("n")}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(k, i): sum(n for q, j, n in rows if q == k and j < i) for k, i, _ in rows}
+    assert running.running(frame.limit(0), [], ["at"], {"before": F.col("n")}).count() == 0
+
+
+@pytest.mark.parametrize("name, months", [("pruned_week", 1), ("pruned_boundary", 2), ("pruned_year", 12)])
+def test_layouts_are_pruned(spark, name, months):
+    frame = catalog.queries()[name](spark, SF)
+    assert "month" in plans.partition_filters(frame)[0]
+    path = layouts.orders_by_month(spark, SF)
+    low, high = {"pruned_week": ("1997-06-09", "1997-06-16"), "pruned_boundary": ("1997-06-28", "1997-07-05"), "pruned_year": ("1997-01-01", "1998-01-01")}[name]
+    read = spark.read.parquet(path).where(layout.between("o_orderdate", "month", low, high))
+    assert len({f.split("month=")[1][:7] for f in read.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}) <= months
+    assert len(layout.partitions(spark, path)) > 12
+
+
+def test_keyed_hash_is_xxh64(spark):
+    xxhash = pytest.importorskip("xxhash")
+    for r in catalog.queries()["hashed_lock_key"](spark, SF).join(load(spark, SF, "customer"), "c_custkey").limit(50).collect():
+        assert r["lock_key"] % (1 << 64) == xxhash.xxh64_intdigest(r["c_name"].encode(), seed=42)
+
+
+def test_labels_are_escaped(spark):
+    got = spark.range(1).select(X.labels_text({"a": F.lit('x"y\\z\nw'), "b": F.lit(3)}).alias("t")).first()["t"]
+    assert got == '{a="x\\"y\\\\z\\nw",b="3"}'
 
 
 def test_logs_keep_broken_lines(spark, tmp_path):
