@@ -17,12 +17,15 @@ def _events(spark, sf):
 _ROWS = """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS tick, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),"""
 
 
-@query(
+TOKEN_BUCKET = (
     _ROWS + """f AS (SELECT event_id, user_id, tick, n, true AS allowed, cast(2 AS double) AS tokens FROM e WHERE n = 1 UNION ALL
     SELECT event_id, user_id, tick, n, have >= 1, have - CASE WHEN have >= 1 THEN 1 ELSE 0 END FROM
     (SELECT e.*, least(cast(3 AS double), f.tokens + greatest(0, e.tick - f.tick) / cast(1000000 AS double) * (cast(1 AS double) / 14400)) AS have FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
     SELECT event_id, user_id, allowed, round(tokens, 6) AS tokens FROM f"""
 )
+
+
+@query(TOKEN_BUCKET)
 def token_bucket(spark, sf):
     step = folds.token_bucket(capacity=3, per_second=1 / 14400)
     out = folds.fold(_events(spark, sf), "user_id", ["at", "event_id"], lambda: None, step, ["at"], "allowed boolean, tokens double")
