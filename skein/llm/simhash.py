@@ -233,14 +233,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """`docs` with one row of each group of near-duplicates: that with the smallest id (null last), then the smallest text hash.
 
     Rows are told apart by id and text, so other texts under the same id are kept or dropped on their own. Of rows
-    that agree in both, one stays. Other columns are kept, whatever their names.
+    that agree in both, one stays, that with the smallest hash of all columns. Other columns are kept, whatever their names.
     """
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[F.xxhash64(F.lit(k), F.coalesce(F.col(text_col), F.lit(""))).alias(f"h{k}") for k in (1, 2)])
-    keyed = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"))
+    id_, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
+    own = [F.xxhash64(F.lit(k), id_.isNull(), id_, text).alias(f"h{k}") for k in (1, 2)]
+    keyed = docs.select(*own, F.struct(*docs.columns).alias("_row"))
+    # The same rows are one from each task before they are shuffled; the join needs no other shuffle of the texts.
+    whole = F.xxhash64(*[F.col("_row")[f.name] for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)])
+    one = keyed.groupBy("h1", "h2").agg(F.min_by("_row", whole).alias("_row"))
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), *own)
     prints = settle(with_fingerprint(docs.select(key.alias("key"), F.col(text_col).alias("text"))))
-    kept = _named(prints, F.min("key"), radius, tile_rows).select(F.col("least").alias("_kept")).distinct()
-    found = keyed.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
-    return found.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    kept = _named(prints, F.min("key"), radius, tile_rows).select("least.h1", "least.h2").distinct()
+    return one.join(kept, ["h1", "h2"], "left_semi").select("_row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
