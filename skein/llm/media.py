@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import _text
-from skein.llm._work import filesystem, new_dir, settle, store
+from skein.llm._work import filesystem, new_dir, store
 
 #: Samples in a row of an image; payloads are padded with spaces to a multiple of it.
 COLUMNS = 192
@@ -135,48 +135,54 @@ def write_shards(docs: DataFrame, path: str, text_col: str = "text", shard_bytes
     return written.groupBy("digest").agg(place).select("digest", "place.*")
 
 
-META = "digest string, width int, height int, bit_depth int, colour_type int"
-READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+META = "width int, height int, bit_depth int, colour_type int"
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def read_shards(index: DataFrame, path: str, whole: bool = True) -> DataFrame:
-    """Of each payload its metadata by a range read of the header alone; with `whole`, what the stored payload gives instead."""
+def _read(rows: DataFrame, path: str, added: str, length, values) -> DataFrame:
+    """`rows` with what `values` gives for the first `length` bytes of each row's entry; a shard is opened once for the rows that follow each other in it."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    fields = [f.strip().split(" ") for f in added.split(",")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f[1]] for f in fields]
+    names = [f[0] for f in fields]
 
+    def run(batches):
         files, root = filesystem(path)
         source, name = None, None
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
+            found = []
+            for row in batch.select(["shard", "offset", "length"]).to_pylist():
                 if row["shard"] != name:
                     if source is not None:
                         source.close()
                     name = row["shard"]
                     source = files.open_input_file(f"{root}/{name}")
                 source.seek(row["offset"])
-                start = source.read(HEADER_BYTES)
-                values = [row["digest"]]
-                if not whole:
-                    values += header_of(start)
-                else:
-                    image = start + source.read(row["length"] - HEADER_BYTES)
-                    samples = from_png(image)
-                    values += [len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(samples)]
-                rows.append(values)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                found.append(values(source.read(length(row))))
+            if found:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(zip(*found), kinds)]], [*batch.schema.names, *names])
         if source is not None:
             source.close()
 
-    import pyarrow as pa
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, {added}")
 
-    fields = [f.strip().split(" ") for f in (READ if whole else META).split(",")]
-    names = [f[0] for f in fields]
-    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f[1]] for f in fields]
+
+def read_headers(index: DataFrame, path: str) -> DataFrame:
+    """The index with the images' metadata, by range reads of HEADER_BYTES bytes."""
     ordered = index.repartition("shard").sortWithinPartitions("shard", "offset")
-    return ordered.mapInArrow(run, READ if whole else META)
+    return _read(ordered, path, META, lambda row: HEADER_BYTES, header_of)
+
+
+def read_payloads(index: DataFrame, path: str) -> DataFrame:
+    """The index with what the whole stored payloads give; rows are read in the order they have."""
+
+    def values(image: bytes) -> tuple:
+        samples = from_png(image)
+        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(samples)
+
+    return _read(index, path, READ, lambda row: row["length"], values)
 
 
 def with_media(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -187,10 +193,8 @@ def with_media(docs: DataFrame, text_col: str = "text", path: str | None = None)
     the payload of spaces alone. Repeated rows refer to one stored payload. An empty table gives an empty result and no shards.
     """
     path = path or new_dir(docs.sparkSession, "media")
-    index = write_shards(docs, path, text_col)
-    media = index.join(read_shards(index, path, whole=False), "digest").join(read_shards(index, path), "digest")
     # Written, so that the join has plain exchanges on both sides and the rows of a payload with very many copies can be split.
-    media = settle(media)
+    media = store(read_payloads(read_headers(write_shards(docs, path, text_col), path), path), "media-columns")
     rows = docs.withColumns({"digest": digest(text_col), "n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")})
     own = [c for c in docs.columns if c not in (text_col, *media.columns, "n_bytes")]
     return rows.select(*own, "n_bytes", "digest").join(media, "digest")
