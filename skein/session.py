@@ -17,6 +17,8 @@ def get_or_create(master: str | None = None, app: str = "skein", **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Checkpoints of frames that nothing refers to any more are deleted.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**base, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)

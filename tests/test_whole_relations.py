@@ -18,7 +18,7 @@ def test_blocked_edges_reach_over_all_days(spark):
     got = sorted(tuple(r) for r in catalog.queries()["blocked_edges"](spark, SF).collect())
     assert got == expected
     day = {r["event_id"]: r["day"] for r in events}
-    assert len({day[w] for w, _ in got}) > 2  # nullsafe_join keeps two days
+    assert len({day[w] for w, _ in got}) > 2
 
 
 def test_spend_rank_ranks_customers_by_revenue(spark):
