@@ -1,48 +1,16 @@
-"""Shared folders and lineage cuts used by the corpus operators."""
+"""Stored tables, copies of rows and what Python workers keep, used by the corpus operators."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is absent (tests on one machine) a temporary folder is set as the
-    checkpoint directory.
-    """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = sc.getCheckpointDir()
-    if current is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
-        current = sc.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def new_dir(spark: SparkSession, kind: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def settle(frame: DataFrame) -> DataFrame:
-    """Write the frame to the reliable checkpoint folder and cut its lineage."""
-    spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return frame.checkpoint(eager=True)
+from skein.shared import new_dir, remove, settle, shared_dir  # noqa: F401  the corpus operators take them from here
 
 
 def store(frame: DataFrame, kind: str, path: str | None = None) -> DataFrame:
@@ -53,12 +21,6 @@ def store(frame: DataFrame, kind: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table or file below the shared folder that nothing reads any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def filesystem(uri: str) -> tuple[Any, str]:
     """The file system of a shared path and the path within it, for tasks that read or write files themselves."""
     from pyarrow.fs import FileSystem
