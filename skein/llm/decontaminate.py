@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import _text
-from skein.llm._work import filesystem, kept_in_worker, new_dir, remove, store
+from skein.llm._work import filesystem, give_back, kept_in_worker, new_dir, remove, store
 from skein.llm.fm_index import FMIndex
 from skein.llm.prefix_sums import numbered
 
@@ -206,6 +206,9 @@ def _pass(folder: str | None, window: int, text_col: str, again: bool, columns:
                 part = batch.slice(a, b - a)
                 added = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], spans), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *added], [*columns, "n_words", "spans", "items"])
+                del part
+            del texts, known, batch
+            give_back()
 
     return run
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import _text
+from skein.llm._work import give_back
 
 #: Labelled rows that the model is fitted on at most, the smallest by a hash of their ids.
 TRAIN_ROWS = 8000
@@ -195,6 +196,9 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 part = batch.slice(a, b - a)
                 added = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *added], [*names, "score", "predicted"])
+                del part
+            del texts, batch
+            give_back()
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *ADDED]))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import _text
-from skein.llm._work import settle
+from skein.llm._work import give_back, settle
 from skein.llm.components import components
 
 RADIUS = 3
@@ -80,6 +80,9 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fp
                 fp = fingerprints(texts[a:b]).view(np.int64)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(fp)], [*kept, out_col])
+                del part
+            del texts, batch
+            give_back()
 
     return docs.select(*kept, text_col).mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import _text, simple8b
-from skein.llm._work import kept_in_worker, new_dir
+from skein.llm._work import give_back, kept_in_worker, new_dir
 
 #: The tokenizer file of `public_tokenizers` used unless another is named.
 TOKENIZER = "byte_bpe_50k.json"
@@ -166,6 +166,8 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     ["part", "seq", "doc_ids", "sizes", "n_ids", "blob"],
                 )
                 seq += 1
+            del texts, names, batch
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows.mapInArrow(run, FILE_SCHEMA.format(id=kind)).write.parquet(path)
