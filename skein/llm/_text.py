@@ -36,16 +36,29 @@ def to_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about `limit` bytes together."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+def sliced(batch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[tuple]:
+    """Consecutive parts of an Arrow batch of about `limit` bytes of text together, each with its texts.
+
+    Only one part's texts are copied out of the batch at a time.
+    """
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
+    for a, b in ranges(sizes, limit):
+        part = batch.slice(a, b - a)
+        yield part, to_bytes(part.column(text_col))
+
+
+def ranges(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of these sizes, of about `limit` bytes together."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text) + 1
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size + 1
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -199,15 +199,13 @@ def _pass(folder: str | None, window: int, text_col: str, again: bool, columns:
         phrases = _phrases_of(folder, window) if folder else Phrases([], window)
         spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
-            texts = _text.to_bytes(batch.column(text_col))
-            known = list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())) if again else None
-            for a, b in _text.slices(texts):
-                rows = search_shard(texts[a:b], phrases, known and known[a:b])
-                part = batch.slice(a, b - a)
+            for part, texts in _text.sliced(batch, text_col):
+                known = list(zip(part.column("spans").to_pylist(), part.column("items").to_pylist())) if again else None
+                rows = search_shard(texts, phrases, known)
                 added = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], spans), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *added], [*columns, "n_words", "spans", "items"])
-                del part
-            del texts, known, batch
+                del part, texts, known
+            del batch
             give_back()
 
     return run

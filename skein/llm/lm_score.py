@@ -166,18 +166,18 @@ def slice_texts(docs: DataFrame, id_col: str, text_col: str, slice_tokens: int)
             return pa.RecordBatch.from_arrays(arrays, ["slice", "kind", "names", "sizes", "n_tokens", "words", "seq"])
 
         for batch in batches:
-            texts, kinds, names = _text.to_bytes(batch.column("text")), np.array(batch.column("kind")), batch.column("doc_id")
-            for a, b in _text.slices(texts, min(_text.SLICE_BYTES, 8 * slice_tokens)):
-                words = _text.Words(texts[a:b], _text.SOLID_BYTE)
+            for piece, texts in _text.sliced(batch, "text", min(_text.SLICE_BYTES, 8 * slice_tokens)):
+                kinds, names = np.array(piece.column("kind")), piece.column("doc_id")
+                words = _text.Words(texts, _text.SOLID_BYTE)
                 tokens = np.insert(words.hashes() | _ONE, words.first[1:], END)
                 sizes = words.counts() + 1
                 for kind in waiting:
-                    own = kinds[a:b] == kind
+                    own = kinds == kind
                     if own.any():
-                        waiting[kind].append((names.slice(a, b - a).filter(pa.array(own)), sizes[own], tokens[np.repeat(own, sizes)]))
+                        waiting[kind].append((names.filter(pa.array(own)), sizes[own], tokens[np.repeat(own, sizes)]))
                         if sum(len(x[2]) for x in waiting[kind]) >= slice_tokens:
                             yield flush(kind)
-            del texts
+            del batch
             give_back()
         for kind, rest in waiting.items():
             if rest:

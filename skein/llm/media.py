@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -103,7 +104,8 @@ def write_shards(docs: DataFrame, path: str, text_col: str = "text", shard_bytes
         attempt, number, out, sent = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, None, set()
         for batch in batches:
             rows = []
-            for name, text in zip(batch.column("digest").to_pylist(), _text.to_bytes(batch.column("text"))):
+            pieces = _text.sliced(batch, "text")
+            for name, text in chain.from_iterable(zip(piece.column("digest").to_pylist(), texts) for piece, texts in pieces):
                 if name in sent:
                     continue
                 sent.add(name)

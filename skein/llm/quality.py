@@ -157,11 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
 
         for batch in batches:
-            texts = _text.to_bytes(batch.column(text_col))
-            for a, b in _text.slices(texts):
-                index, first = features(texts[a:b])
-                rows = [index[first[i] : first[i + 1]].astype(np.uint32).tobytes() for i in range(b - a)]
-                part = batch.slice(a, b - a)
+            for part, texts in _text.sliced(batch, text_col):
+                index, first = features(texts)
+                rows = [index[first[i] : first[i + 1]].astype(np.uint32).tobytes() for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("_y"), pa.array(rows, pa.binary())], ["k", "y", "rows"])
 
     found = texts.mapInArrow(run, "k long, y int, rows binary").orderBy("k", "y", "rows").limit(train_rows).toArrow()
@@ -190,14 +188,12 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
         model = Model(*shared.value)
         for batch in batches:
-            texts = _text.to_bytes(batch.column(text_col))
-            for a, b in _text.slices(texts):
-                score = model.scores(texts[a:b])
-                part = batch.slice(a, b - a)
+            for part, texts in _text.sliced(batch, text_col):
+                score = model.scores(texts)
                 added = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *added], [*names, "score", "predicted"])
-                del part
-            del texts, batch
+                del part, texts
+            del batch
             give_back()
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *ADDED]))

@@ -75,13 +75,11 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fp
         import pyarrow as pa
 
         for batch in batches:
-            texts = _text.to_bytes(batch.column(text_col))
-            for a, b in _text.slices(texts):
-                fp = fingerprints(texts[a:b]).view(np.int64)
-                part = batch.slice(a, b - a)
+            for part, texts in _text.sliced(batch, text_col):
+                fp = fingerprints(texts).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(fp)], [*kept, out_col])
-                del part
-            del texts, batch
+                del part, texts
+            del batch
             give_back()
 
     return docs.select(*kept, text_col).mapInArrow(run, schema)

@@ -156,17 +156,16 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         part, seq = TaskContext.get().partitionId(), 0
         encoder = kept_in_worker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
-            texts = _text.to_bytes(batch.column("text"))
-            names = batch.column("doc_id")
-            for a, b in _text.slices(texts):
-                ids, sizes = encoder.encode(texts[a:b])
-                lists = [pa.array([x], pa.list_(t)) for x, t in ((names.slice(a, b - a).to_pylist(), names.type), (sizes.tolist(), pa.int64()))]
+            for slice_, texts in _text.sliced(batch, "text"):
+                ids, sizes = encoder.encode(texts)
+                names = slice_.column("doc_id")
+                lists = [pa.array([x], pa.list_(t)) for x, t in ((names.to_pylist(), names.type), (sizes.tolist(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *lists, pa.array([len(ids)], pa.int64()), pa.array([simple8b.encode(ids)], pa.binary())],
                     ["part", "seq", "doc_ids", "sizes", "n_ids", "blob"],
                 )
                 seq += 1
-            del texts, names, batch
+            del batch
             give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
