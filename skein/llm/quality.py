@@ -21,6 +21,8 @@ from skein.llm._work import give_back
 TRAIN_ROWS = 8000
 #: Binary logarithm of the number of features.
 BITS = 18
+#: Texts are turned into features in slices of about this many bytes: a slice's arrays fit a processor's caches.
+PART_BYTES = 1 << 18
 #: Of the sample, one row in so many sets the scale of the scores instead of the weights.
 SCALE_PART = 4
 PENALTY = 1.0
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
 
         for batch in batches:
-            for part, texts in _text.sliced(batch, text_col):
+            for part, texts in _text.sliced(batch, text_col, PART_BYTES):
                 index, first = features(texts)
                 rows = [index[first[i] : first[i + 1]].astype(np.uint32).tobytes() for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("_y"), pa.array(rows, pa.binary())], ["k", "y", "rows"])
@@ -188,7 +190,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
         model = Model(*shared.value)
         for batch in batches:
-            for part, texts in _text.sliced(batch, text_col):
+            for part, texts in _text.sliced(batch, text_col, PART_BYTES):
                 score = model.scores(texts)
                 added = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *added], [*names, "score", "predicted"])
