@@ -180,3 +180,32 @@ def route_rate(spark, sf):
 def saga_log_stats(spark, sf):
     actor = F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("long") % 5).cast("string"))
     return load(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("entries"), F.array_join(F.array_sort(F.collect_set(actor)), ",").alias("actors"))
+
+
+@query(
+    """WITH k AS (SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'write' WHEN event_type = 'error' THEN 'transaction'
+        WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IN ('purchase', 'signup') THEN 'read-after-write' ELSE 'read' END AS kind FROM events)
+    SELECT event_id, kind, CASE kind WHEN 'write' THEN 'primary' ELSE 'replica' END AS naive, CASE kind WHEN 'read' THEN 'replica' ELSE 'primary' END AS target FROM k"""
+)
+def route_classify(spark, sf):
+    """Where each request goes: a read just after the same user's write must see it, so only other reads go to a replica.
+
+    Purchases and signups stand for writes and errors for transactions; `naive` looks at writes alone.
+    """
+    writes, own = ["purchase", "signup"], Window.partitionBy("user_id").orderBy("ts", "event_id")
+    read = F.when(F.lag("event_type").over(own).isin(writes), "read-after-write").otherwise("read")
+    kind = F.when(F.col("event_type").isin(writes), "write").when(F.col("event_type") == "error", "transaction").otherwise(read)
+    naive, target = F.when(F.col("kind") == "write", "primary").otherwise("replica"), F.when(F.col("kind") == "read", "replica").otherwise("primary")
+    return load(spark, sf, "events").select("event_id", kind.alias("kind")).select("event_id", "kind", naive.alias("naive"), target.alias("target"))
+
+
+@query(
+    """WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id)
+    SELECT user_id % 10 AS team, count(*) FILTER (WHERE state = 'signup') AS on_call, count(*) FILTER (WHERE state = 'signup') > 0 AS holds FROM l GROUP BY user_id % 10"""
+)
+def on_call_count(spark, sf):
+    """Staff on call per team and whether the invariant of at least one holds; a signup takes up duty and an error gives it up."""
+    log = load(spark, sf, "events").where(F.col("event_type").isin("signup", "error"))
+    last = log.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+    on_call = F.count_if(F.col("state") == "signup")
+    return last.groupBy((F.col("user_id") % 10).alias("team")).agg(on_call.alias("on_call"), (on_call > 0).alias("holds"))
